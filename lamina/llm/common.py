@@ -67,6 +67,13 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4_000_000) -> Iterat
         yield batch.slice(begin)
 
 
+def powers(base: int, n: int) -> np.ndarray:
+    """base**0 to base**(n-1) modulo 2^64."""
+    steps = np.full(n, base, np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps, dtype=np.uint64)
+
+
 class WordHashes:
     """64-bit hashes of all words of many texts at once, ASCII letters in lower case.
 
@@ -74,27 +81,30 @@ class WordHashes:
     the bytes, then mixed; words are runs of bytes other than ASCII white space.
     """
 
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
     def _powers(self, n: int) -> None:
         if len(self.up) < n:
-            n = max(n, 1 << 16)
-            with np.errstate(over="ignore"):
-                self.up = np.cumprod(np.concatenate(([1], np.full(n - 1, _BASE, np.uint64))).astype(np.uint64), dtype=np.uint64)
-                self.down = np.cumprod(np.concatenate(([1], np.full(n - 1, pow(_BASE, -1, 1 << 64), np.uint64))).astype(np.uint64), dtype=np.uint64)
+            n = 1 << max(16, (n - 1).bit_length())
+            self.up, self.down = powers(_BASE, n), powers(pow(_BASE, -1, 1 << 64), n)
+
+    def __init__(self, letters: bool = False) -> None:
+        """letters: words are runs of ASCII letters and digits and of all bytes beyond ASCII."""
+        self.up = self.down = np.ones(1, np.uint64)
+        self.between = np.zeros(256, bool)
+        self.between[[9, 10, 11, 12, 13, 32]] = True
+        if letters:
+            self.between[:128] = [not chr(b).isalnum() for b in range(128)]
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """hash, index of the text, first byte and end byte (within the joined texts) of every word."""
         raw = [(t or "").encode() for t in texts]
         buf = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
         self._powers(len(buf) + 1)
-        white = (buf == 32) | ((buf >= 9) & (buf <= 13))
+        white = self.between[buf]
         edge = np.diff(np.concatenate(([True], white, [True])).view(np.int8))
         first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         low = buf + np.where((buf >= 65) & (buf <= 90), 32, 0).astype(np.uint8)
         with np.errstate(over="ignore"):
-            sums = np.concatenate(([0], np.cumsum((low.astype(np.uint64) + np.uint64(1)) * self.up[: len(buf)], dtype=np.uint64))).astype(np.uint64)
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((low.astype(np.uint64) + np.uint64(1)) * self.up[: len(buf)], dtype=np.uint64)))
             hashes = mix((sums[last] - sums[first]) * self.down[first])
         begins = np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw])))[:-1]
         owner = np.searchsorted(begins, first, side="right") - 1
