@@ -29,8 +29,10 @@ from lamina.llm.common import WordHashes, slices
 
 BLOCK = 16
 BUCKETS = 8192
-RANK = 56
+WEIGHT = 5
+RANK = 32
 COSINE = 0.5
+OVERLAP = 0.4  # of the item's weight, before words are compared in order
 SURE = 0.75
 LIKELY = 0.5
 ANSWER = 5
@@ -81,7 +83,7 @@ def _gather(df: DataFrame, shape: tuple[int, ...]) -> np.ndarray:
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """log(1 + passages / passages with the bucket), over all passages."""
+    """log(1 + passages / passages with the bucket), over all passages, to the power WEIGHT: so common words do not rule the space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, total, n = WordHashes(letters=True), np.zeros(BUCKETS + _PARTS), 0
@@ -98,21 +100,48 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
             yield _emit(total, int(total.sum()) % 64)
 
     total = _gather(docs.select("text").mapInArrow(run, "part int, salt int, value binary"), (BUCKETS + _PARTS,))
-    return np.log1p(max(1.0, total[BUCKETS]) / np.maximum(1, total[:BUCKETS])).astype(np.float32)
+    return np.log1p(max(1.0, total[BUCKETS]) / np.maximum(1, total[:BUCKETS])).astype(np.float32) ** WEIGHT
 
 
-def _embed(buckets: np.ndarray, starts: np.ndarray, weighted: np.ndarray) -> np.ndarray:
-    """Sums of the weighted rows of each block's words."""
-    return np.add.reduceat(weighted[buckets], starts, axis=0)
+def _padded(buckets: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A row of BLOCK buckets a block; BUCKETS stands for no word."""
+    size = np.diff(np.append(starts, len(buckets)))
+    out = np.full((BLOCK, len(starts)), BUCKETS, np.int32)
+    block = np.repeat(np.arange(len(starts)), size)
+    out[np.arange(len(buckets)) - starts[block], block] = buckets
+    return out
+
+
+def _embed(padded: np.ndarray, weighted: np.ndarray) -> np.ndarray:
+    """Sums of the weighted rows of each block's words; the last row of weighted is zero."""
+    out = weighted[padded[0]]
+    for row in padded[1:]:
+        out += weighted[row]
+    return out
+
+
+def _with_zero(x: np.ndarray) -> np.ndarray:
+    return np.concatenate((x, np.zeros((1, *x.shape[1:]), x.dtype)))
+
+
+def sketch(buckets: np.ndarray, starts: np.ndarray, idf: np.ndarray, weighted: np.ndarray, total: np.ndarray) -> None:
+    """Add A'(A omega) of these blocks, scaled to unit length, to total (RANK by BUCKETS)."""
+    padded = _padded(buckets, starts)
+    y = _embed(padded, weighted)
+    y /= np.maximum(1e-12, _embed(padded, _with_zero(idf * idf)))[:, None]
+    block = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(buckets))))
+    weight = idf[buckets]
+    for column, row in zip(total, np.ascontiguousarray(y.T), strict=True):
+        column += np.bincount(buckets, row[block] * weight, BUCKETS)
 
 
 def latent_space(docs: DataFrame, idf: np.ndarray, seed: int = 5) -> np.ndarray:
     """BUCKETS by RANK right singular vectors of the passages' TF-IDF vectors (of unit length)."""
     omega = np.linalg.qr(np.random.default_rng(seed).standard_normal((BUCKETS, RANK)))[0].astype(np.float32)
-    weighted = omega * idf[:, None]
+    weighted = _with_zero(omega * idf[:, None])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, total, some = WordHashes(letters=True), np.zeros((BUCKETS, RANK)), 0
+        words, total, some = WordHashes(letters=True), np.zeros((RANK, BUCKETS)), 0
         for whole in batches:
             for batch in slices(whole, "text"):
                 hashes, owner, _, _ = words(batch.column("text").to_pylist())
@@ -121,24 +150,18 @@ def latent_space(docs: DataFrame, idf: np.ndarray, seed: int = 5) -> np.ndarray:
                 for i in range(0, len(all_starts), _CHUNK // BLOCK):
                     at = all_starts[i : i + _CHUNK // BLOCK]
                     end = marks[min(i + _CHUNK // BLOCK, len(all_starts))]
-                    b = _buckets(hashes[at[0] : end])
-                    starts = at - at[0]
-                    y = _embed(b, starts, weighted)
-                    weight = idf[b]
-                    y /= np.add.reduceat(weight * weight, starts)[:, None]
-                    block = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(b))))
-                    order = np.argsort(b, kind="stable")
-                    sorted_ = b[order]
-                    first = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
-                    total[sorted_[first]] += np.add.reduceat(y[block[order]] * weight[order][:, None], first, axis=0)
-                    some += len(b)
+                    sketch(_buckets(hashes[at[0] : end]), at - at[0], idf, weighted, total)
+                    some += end - at[0]
         if some:
             yield _emit(total.ravel(), some % 64)
 
-    y = _gather(docs.select("text").mapInArrow(run, "part int, salt int, value binary"), (BUCKETS, RANK))
-    if not y.any():
-        return omega
-    y /= np.linalg.norm(y)
+    y = _gather(docs.select("text").mapInArrow(run, "part int, salt int, value binary"), (RANK, BUCKETS)).T
+    return singular_vectors(y, omega) if y.any() else omega
+
+
+def singular_vectors(y: np.ndarray, omega: np.ndarray) -> np.ndarray:
+    """Of A, from y = A'A omega, by the Nystrom formula with a small shift."""
+    y = y / np.linalg.norm(y)
     shift = 1e-7
     y += shift * omega
     core = omega.T.astype(np.float64) @ y
@@ -177,7 +200,14 @@ class Searcher:
             self.items.append((item, own.tolist(), set(own.tolist())))
         self.vectors = np.array(vectors, np.float32).reshape(-1, space.shape[1])
         self.vectors /= np.maximum(1e-9, np.linalg.norm(self.vectors, axis=1, keepdims=True))
-        self.weighted = space * idf[:, None]
+        self.weighted = _with_zero(space * idf[:, None])
+        self.of = np.array(self.of, np.int64)
+        self.mass = np.zeros((len(self.items), BUCKETS + 1), np.float32)  # the weight of each bucket in each item
+        self.least = np.zeros(len(self.items), np.float32)
+        for i, (_, own, _) in enumerate(self.items):
+            b = _buckets(np.array(own, np.uint64))
+            self.mass[i, b] = idf[b]
+            self.least[i] = OVERLAP * idf[b].sum() * min(1, 2 * BLOCK / len(own))
 
     def find(self, texts: list[str | None]) -> list[dict[int, tuple[float, float, bool, int, int]]]:
         """For each text: item -> (cosine, covered share, answer found, first and end word of the place)."""
@@ -194,14 +224,23 @@ class Searcher:
         for i in range(0, len(starts), step):
             last = min(len(starts), i + step + 1)  # one block more, for the last window
             at = starts[i:last]
-            e = _embed(_buckets(hashes[at[0] : marks[last]]), at - at[0], self.weighted)
-            z = e.copy()
+            padded = _padded(_buckets(hashes[at[0] : marks[last]]), at - at[0])
+            e = _embed(padded, self.weighted)
             joined = whose[i : last - 1] == whose[i + 1 : last]
+            z = e.copy()
             z[:-1][joined] += e[1:][joined]
             z = z[: min(step, len(starts) - i)]
             z /= np.maximum(1e-9, np.linalg.norm(z, axis=1, keepdims=True))
             near = z @ self.vectors.T
-            for w, q in zip(*np.nonzero(near >= COSINE), strict=True):
+            w, q = np.nonzero(near >= COSINE)
+            item_of = self.of[q]
+            second = np.append(joined, False)[w]
+            shared = np.zeros(len(w), np.float32)
+            for row in padded:
+                shared += self.mass[item_of, row[w]]
+                shared += np.where(second, self.mass[item_of, row[np.minimum(w + 1, len(row) - 1)]], 0)
+            likely = shared >= self.least[item_of]
+            for w, q in zip(w[likely].tolist(), q[likely].tolist(), strict=True):
                 doc = int(whose[i + w])
                 item, own, distinct = self.items[self.of[q]]
                 if out[doc].get(item, (0, 0))[1] >= 1:
