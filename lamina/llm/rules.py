@@ -69,7 +69,7 @@ MEASURES: Measures = {
     "word_chars": lambda t: F.length(F.regexp_replace(F.coalesce(t, F.lit("")), WS + "+", "")).cast("long"),
     "n_symbols": lambda t: _count(t, r"[#*$%&|<>]"),
     "n_dup_lines": duplicate_lines,
-    "n_repeat_words": lambda t: let(words_of(t), repeated_words),
+    "n_repeat_words": lambda t: let(words_of(t), lambda w: repeated_words(w)),  # of one parameter: a second would be the index
     "n_lines": lambda t: _count(t, r"(?m)^.*[^\x20\x09-\x0D].*$"),
     "n_shouted": lambda t: _count(t, r"!"),
     "n_alpha_words": lambda t: _count(t, r"[^\x20\x09-\x0D]*\p{L}[^\x20\x09-\x0D]*"),
