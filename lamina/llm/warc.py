@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import struct
 import uuid
 from collections.abc import Iterator
@@ -30,6 +31,7 @@ from lamina.llm.common import cut, scratch, slices
 
 DICTIONARY_FRAME = 0x184D2A5D
 ARCHIVE_BYTES = 16_000_000  # of records before compression; what a task holds
+READ_BYTES = 1_000_000_000  # of records before compression that a task reads back, one archive after the other
 DICTIONARY_BYTES = 65_536
 SEGMENT_BYTES = 1024  # of the records' pieces a dictionary is made of; searching for the best length takes five times the time and saves 0.1 %
 MIN_PAYLOAD = 0  # smaller payloads are never revisits
@@ -199,7 +201,10 @@ def read(manifest: DataFrame, path: str) -> DataFrame:
 
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
     kinds = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
-    return manifest.select("path").repartition("path").mapInArrow(run, kinds)
+    # a number of partitions of our own: the manifest is so small that adaptive execution would have one task read everything
+    count, total = manifest.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    parts = max(1, min(count, manifest.sparkSession.sparkContext.defaultParallelism), math.ceil(total / READ_BYTES))
+    return manifest.select("path").repartition(parts, "path").mapInArrow(run, kinds)
 
 
 def archive(pages: DataFrame, path: str | None = None) -> DataFrame:
