@@ -257,9 +257,11 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
 
     Of repeated rows with that doc_id one stays. Rows with a null doc_id cannot be told apart and stay.
     """
-    kept = groups(docs, shingle, bits, similarity=similarity).where("doc_id = component_id").groupBy("doc_id").count()
-    kept = cut(kept, "kept")
-    out = docs.join(kept.select(F.col("doc_id").alias("_kept")), F.col("doc_id") == F.col("_kept"), "left_semi")
-    if not kept.where("count > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.where("doc_id is null"))
+    per = groups(docs, shingle, bits, similarity=similarity).where("doc_id is not null").groupBy("doc_id").agg(F.count_if(F.col("doc_id") == F.col("component_id")).alias("heads"))
+    per = cut(per, "heads")
+    # the ids that go are fewer than those that stay, and so is what meets the texts
+    gone = cut(per.where("heads = 0").select(F.col("doc_id").alias("_gone")), "gone")
+    out = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    if per.where("heads > 1").isEmpty():
+        return out
+    return out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
