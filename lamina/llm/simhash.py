@@ -256,12 +256,13 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     """docs without the near copies: of each group the row with the smallest doc_id stays.
 
     Of repeated rows with that doc_id one stays. Rows with a null doc_id cannot be told apart and stay.
+    Extra columns are kept, whatever their names.
     """
     per = groups(docs, shingle, bits, similarity=similarity).where("doc_id is not null").groupBy("doc_id").agg(F.count_if(F.col("doc_id") == F.col("component_id")).alias("heads"))
     per = cut(per, "heads")
     # the ids that go are fewer than those that stay, and so is what meets the texts
     gone = cut(per.where("heads = 0").select(F.col("doc_id").alias("_gone")), "gone")
-    out = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    out = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
     if per.where("heads > 1").isEmpty():
         return out
     return out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))

@@ -236,6 +236,16 @@ def test_near_copies_go(spark, docs, odd, empty):
     assert simhash.drop_near_duplicates(empty).count() == 0
 
 
+def test_near_copies_without_repeats_or_ids(spark):
+    words = [f"w{i}" for i in range(300)]
+    rows = [(1, " ".join(words)), (2, " ".join(words)), (3, " ".join(words[::-1])), (None, " ".join(words)), (None, " ".join(words)), (5, "alone"), (5, "alone"), (5, "other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_gone", F.lit(7)).withColumn("heads", F.lit("x"))
+    for some, left in ((df.where("doc_id is null or doc_id < 5"), [1, 3, None, None]), (df, [1, 3, 5, None, None])):
+        kept = simhash.drop_near_duplicates(some)
+        assert kept.columns == df.columns
+        assert sorted((r.doc_id for r in kept.collect()), key=lambda x: (x is None, x or 0)) == left
+
+
 def test_repeats(spark, docs, odd):
     r = random.Random(5)
     words = lambda n: " ".join("".join(r.choices("abcdefgh", k=r.randint(2, 9))) for _ in range(n))
