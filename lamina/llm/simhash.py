@@ -13,6 +13,9 @@ cells that no link can leave unseen:
 Cells larger than a tile are dealt into tiles over many tasks. A task returns a spanning forest of
 its links, not its links; components come from alternating star contractions over tables in the
 shared folder. Nothing about documents is collected.
+
+At a large radius such links are candidates only: the shingle sets of their components' fingerprints, one
+representative each, meet once more, and links whose Jaccard similarity is below the one asked for go.
 """
 
 from __future__ import annotations
@@ -30,8 +33,10 @@ from pyspark.sql import functions as F
 from lamina.llm.common import cut, mix, slices, small
 
 TILE = 4096
+SETS_TILE = 1024  # sets a tile, and so many shingles, where sets are compared exactly
+SHINGLES_TILE = 1 << 21
 _SUB = 512
-_PRINT_SCHEMA = "doc_id long, node long, fp binary, keys array<long>"
+_PRINT_SCHEMA = "doc_id long, node long, fp binary, keys array<long>, n_shingles long, text_key long"
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -66,30 +71,33 @@ def fingerprint(hashes: np.ndarray, lanes: int = 1) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, bits: int = 64, distinct: bool = False, keys: int = 0) -> DataFrame:
-    """A row per row of docs: doc_id, node (a 64-bit name of the fingerprint), fp (big-endian bytes), keys.
+    """A row per row of docs: doc_id, node (a 64-bit name of the fingerprint), fp (big-endian bytes), keys, n_shingles, text_key.
 
-    distinct: count each shingle once, so that the fingerprint speaks of sets; keys: so many smallest hashes.
+    distinct: count each shingle once, so that the fingerprint speaks of sets (else without the last two columns); keys: so many smallest hashes.
+    text_key: a hash of the text, with doc_id the way back to a row.
     """
     lanes = bits // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                prints, nodes, mins = [], [], []
+                prints, nodes, mins, sizes = [], [], [], []
                 for text in batch.column("text").to_pylist():
                     h = shingle_hashes(text, shingle)
                     h = np.unique(h) if distinct else h
                     p = fingerprint(h, lanes)
                     raw = p.astype(">u8").tobytes()
                     prints.append(raw)
+                    sizes.append(len(h))
                     nodes.append(int(p[0]) if lanes == 1 else xxhash.xxh64_intdigest(raw))
                     mins.append([int(mix(h ^ np.uint64(k * 0x9E3779B9 + 1)).min().view(np.int64)) for k in range(keys)] if len(h) else [0] * keys)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").cast(pa.int64()), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(prints, pa.binary()), pa.array(mins, pa.list_(pa.int64()))],
-                    names=["doc_id", "node", "fp", "keys"],
+                    [batch.column("doc_id").cast(pa.int64()), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(prints, pa.binary()), pa.array(mins, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), batch.column("text_key")],
+                    names=["doc_id", "node", "fp", "keys", "n_shingles", "text_key"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, _PRINT_SCHEMA)
+    made = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, _PRINT_SCHEMA)
+    return made if distinct else made.drop("n_shingles", "text_key")
 
 
 def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> np.ndarray:
@@ -226,11 +234,85 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
+def set_links(fp: np.ndarray, sets: list[np.ndarray], first: int, radius: int, similarity: float) -> np.ndarray:
+    """A spanning forest, as pairs of row numbers, of the links at `radius` or fewer bits whose sets have the similarity.
+
+    sets: the distinct shingles of each row. All rows meet if first is their number, else those before `first` meet the others.
+    """
+    n = len(fp)
+    size = np.fromiter(map(len, sets), np.int64, n)
+    ends = np.cumsum(size)
+    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(names), bool)
+    parent = np.arange(n)
+    pairs: list[tuple[int, int]] = []
+    for i in range(1, n) if first == n else range(first, n):
+        other = min(i, first)
+        near = np.bitwise_count(fp[:other] ^ fp[i]).sum(axis=1, dtype=np.int64) <= radius
+        near &= np.minimum(size[:other], size[i]) >= similarity * np.maximum(size[:other], size[i]) - 1e-9
+        near &= parent[:other] != parent[i]
+        own = flat[ends[i] - size[i] : ends[i]]
+        mark[own] = True
+        for j in np.flatnonzero(near).tolist():
+            if parent[i] == parent[j]:
+                continue
+            both = int(np.count_nonzero(mark[flat[ends[j] - size[j] : ends[j]]]))
+            if both >= similarity * (size[i] + size[j] - both) - 1e-9:
+                pairs.append((j, i))
+                low, high = min(parent[i], parent[j]), max(parent[i], parent[j])
+                parent[parent == high] = low
+        mark[own] = False
+    return np.array(pairs, np.int64).reshape(-1, 2)
+
+
+def confirmed(docs: DataFrame, distinct: DataFrame, joined: DataFrame, shingle: int, bits: int, radius: int, similarity: float) -> DataFrame:
+    """u, v: links with the exact similarity that join the same components as all of them do.
+
+    joined: node and root of the candidates' components, roots left out; no link leaves one. A representative's set is taken from its
+    text and goes to its component only, which is dealt into tiles if it is large.
+    """
+    lanes = bits // 64
+    members = joined.select("node", "root").union(joined.select("root", "root").distinct())
+    nodes = distinct.join(members, "node").select("node", "fp", "root", "n_shingles", "sample")
+    sizes = nodes.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / SETS_TILE), F.ceil(F.sum("n_shingles") / SHINGLES_TILE)).cast("int").alias("tiles"))
+    hot = small(cut(sizes.where("tiles > 1"), "hot-components"))
+    tiles = F.coalesce("tiles", F.lit(1))
+    wanted = cut(nodes.join(hot, "root", "left").select("node", "fp", "root", tiles.alias("tiles"), F.col("sample.doc_id").alias("_doc"), F.col("sample.text_key").alias("_key")), "wanted")
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                sets = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "fp", "root", "tiles")), pa.array(sets, pa.binary())], names=["node", "fp", "root", "tiles", "shingles"])
+
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    found = texts.join(small(wanted), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key"))).select("text", "node", "fp", "root", "tiles")
+    sets = found.mapInArrow(shingled, "node long, fp binary, root long, tiles int, shingles binary").dropDuplicates(["node", "fp"])
+    dealt = (
+        sets.withColumn("own", F.pmod(F.hash("node"), F.col("tiles")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        .select("root", F.least("own", "other").alias("ti"), F.greatest("own", "other").alias("tj"), "own", "node", "fp", "shingles")
+    )
+
+    def compare(group: pa.Table) -> pa.Table:
+        fp = np.frombuffer(b"".join(group.column("fp").to_pylist()), ">u8").astype(np.uint64).reshape(-1, lanes)
+        node = group.column("node").to_numpy()
+        ti, tj = group.column("ti")[0].as_py(), group.column("tj")[0].as_py()
+        first = group.column("own").to_numpy() == ti
+        order = np.concatenate((np.flatnonzero(first), np.flatnonzero(~first)))
+        raw = group.column("shingles").to_pylist()
+        found = set_links(fp[order], [np.frombuffer(raw[k], np.uint64) for k in order], len(order) if ti == tj else int(first.sum()), radius, similarity)
+        return pa.table({"u": node[order][found[:, 0]], "v": node[order][found[:, 1]]})
+
+    return dealt.groupBy("root", "ti", "tj").applyInArrow(compare, "u long, v long")
+
+
 def groups(docs: DataFrame, shingle: int = 3, bits: int = 64, radius: int = 3, similarity: float | None = None, keys: int = 6) -> DataFrame:
     """A row per row of docs: doc_id, fp (binary), component_id, the smallest doc_id reachable over links.
 
     Fingerprints link at `radius` or fewer differing bits. With `similarity` the fingerprints speak of sets
-    of shingles, and the radius is where sets of that Jaccard similarity are expected plus two deviations.
+    of shingles, and the radius is where sets of that Jaccard similarity are expected plus two deviations;
+    a link then also needs that similarity of the sets themselves.
     Null and empty texts have the fingerprint zero and are linked like others. A null doc_id is passed
     over when the smallest is sought; a group of such rows only has a null component_id. Extra columns
     are not read. An empty table gives an empty result.
@@ -240,8 +322,11 @@ def groups(docs: DataFrame, shingle: int = 3, bits: int = 64, radius: int = 3, s
         p = math.acos(2 * similarity / (1 + similarity)) / math.pi
         radius = math.floor(bits * p + 2 * math.sqrt(bits * p * (1 - p)))
     prints = cut(fingerprints(docs, shingle, bits, by_keys, keys if by_keys else 0), "fingerprints")
-    distinct = cut(prints.groupBy("node", "fp").agg(F.min("doc_id").alias("least_doc"), F.min("keys").alias("keys")), "distinct")
+    sample = [F.min_by("n_shingles", F.struct("doc_id", "text_key")).alias("n_shingles"), F.min(F.struct("doc_id", "text_key")).alias("sample")] if by_keys else []
+    distinct = cut(prints.groupBy("node", "fp").agg(F.min("doc_id").alias("least_doc"), F.min("keys").alias("keys"), *sample), "distinct")
     joined = cut(components(links(distinct, bits, radius, by_keys)), "components")
+    if by_keys:
+        joined = cut(components(confirmed(docs, distinct, joined, shingle, bits, radius, similarity)), "components")
     named = distinct.join(joined, "node", "left").select("node", "fp", "least_doc", F.coalesce("root", "node").alias("root"))
     heads = named.where("root <> node").select("root").distinct()
     linked = named.join(heads, "root", "left_semi")

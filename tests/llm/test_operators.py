@@ -246,6 +246,48 @@ def test_near_copies_without_repeats_or_ids(spark):
         assert sorted((r.doc_id for r in kept.collect()), key=lambda x: (x is None, x or 0)) == left
 
 
+def shingled_pair(name, similarity, shingles=1000):
+    """Two texts of so many distinct five-word shingles each; as many are common as the Jaccard similarity allows."""
+    common = int(2 * shingles * similarity / (1 + similarity))
+    words = [[f"{name}c{i}" if i < common + 4 else f"{name}{side}{i}" for i in range(shingles + 4)] for side in "xy"]
+    return [" ".join(w) for w in words]
+
+
+def test_pairs_below_the_similarity_stay(spark):
+    rows = [(10 * k + side, text) for k, j in enumerate((0.6, 0.7, 0.75, 0.79, 0.81, 0.9)) for name in "ab" for side, text in enumerate(shingled_pair(f"{k}{name}", j), 2 * (name == "b"))]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(i for i, _ in rows) == sorted([r.doc_id for r in kept.collect()] + [41, 43, 51, 53])
+
+
+@pytest.mark.parametrize("limits", [(1024, 1 << 21), (4, 1 << 21), (1024, 900)])
+def test_near_copies_have_the_similarity(spark, monkeypatch, limits):
+    monkeypatch.setattr(simhash, "SETS_TILE", limits[0])
+    monkeypatch.setattr(simhash, "SHINGLES_TILE", limits[1])
+    r, rows = random.Random(4), []
+    for group in range(3):
+        words = [f"g{group}w{i}" for i in range(300)]
+        for _ in range(20):  # a chain: each text is the last one with three words changed
+            words = [f"{w}n{len(rows)}" if i in set(r.sample(range(300), 3)) else w for i, w in enumerate(words)] if r.random() < 0.3 else words[:-3] + [f"t{len(rows)}{i}" for i in range(3)]
+            rows.append((len(rows), " ".join(words)))
+    rows += [(None, rows[5][1]), (None, rows[5][1]), (5, rows[5][1])]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    want = {i: root(k) for k, (i, _) in enumerate(rows) if i is not None}
+    got = {x.doc_id: x.component_id for x in simhash.groups(spark.createDataFrame(rows, "doc_id long, text string"), 5, 256, similarity=0.8).collect() if x.doc_id is not None}
+    assert got == want
+
+
 def test_repeats(spark, docs, odd):
     r = random.Random(5)
     words = lambda n: " ".join("".join(r.choices("abcdefgh", k=r.randint(2, 9))) for _ in range(n))
