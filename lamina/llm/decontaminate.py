@@ -6,7 +6,9 @@
    passages, partial sums are added in two rounds of shuffles, and the Nystrom formula turns the sum
    (buckets by RANK numbers) into singular vectors.
 3. Windows of two blocks are compared in the latent space with the benchmark's items, or windows of
-   them, by cosine: candidates.
+   them, by cosine. Candidates are windows of a high cosine that share some words with the item, windows
+   that share OVERLAP of the item's weight whatever their cosine (found by the item's rarest words, one of
+   which they must hold), and all windows around an item's answer.
 4. A candidate is a leak if the longest common subsequence of the item's words and the words around the
    window covers SURE of the item, or covers LIKELY of it and the item's answer, its last words, stands
    there in one piece: a paraphrase.
@@ -25,14 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import WordHashes, slices
+from lamina.llm.common import WordHashes, mix, slices
 
 BLOCK = 16
 BUCKETS = 8192
 WEIGHT = 5
 RANK = 32
 COSINE = 0.5
-OVERLAP = 0.4  # of the item's weight, before words are compared in order
+OVERLAP = 0.4  # of the item's weight: a candidate
+COMMON = 0.4  # of the item's words in a window of high cosine: a candidate
 SURE = 0.75
 LIKELY = 0.5
 ANSWER = 5
@@ -182,6 +185,15 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
     return len(b) - v.bit_count()
 
 
+def _runs(hashes: np.ndarray) -> np.ndarray:
+    """A hash of the ANSWER words from each word on."""
+    n = len(hashes) - ANSWER + 1
+    out = np.zeros(n, np.uint64)
+    for j in range(ANSWER):
+        out = mix(out + hashes[j : j + n])
+    return out
+
+
 class Searcher:
     """A block of benchmark items, ready to be looked for in texts."""
 
@@ -197,17 +209,46 @@ class Searcher:
                 part = own[a : a + 2 * BLOCK] if len(own) > 2.5 * BLOCK else own
                 vectors.append((space[_buckets(part)] * idf[_buckets(part)][:, None]).sum(axis=0))
                 self.of.append(len(self.items))
-            self.items.append((item, own.tolist(), set(own.tolist())))
+            self.items.append((item, own.tolist()))
         self.vectors = np.array(vectors, np.float32).reshape(-1, space.shape[1])
         self.vectors /= np.maximum(1e-9, np.linalg.norm(self.vectors, axis=1, keepdims=True))
         self.weighted = _with_zero(space * idf[:, None])
         self.of = np.array(self.of, np.int64)
         self.mass = np.zeros((len(self.items), BUCKETS + 1), np.float32)  # the weight of each bucket in each item
         self.least = np.zeros(len(self.items), np.float32)
-        for i, (_, own, _) in enumerate(self.items):
+        self.has = np.zeros(self.mass.shape, np.uint8)
+        self.fewest = np.zeros(len(self.items), np.float32)
+        heads = []
+        for i, (_, own) in enumerate(self.items):
             b = _buckets(np.array(own, np.uint64))
-            self.mass[i, b] = idf[b]
+            self.mass[i, b], self.has[i, b] = idf[b], 1
             self.least[i] = OVERLAP * idf[b].sum() * min(1, 2 * BLOCK / len(own))
+            self.fewest[i] = COMMON * min(len(own), 2 * BLOCK)
+            # without any of these the others, as often as in the item, do not reach the least
+            kinds, times = np.unique(b, return_counts=True)
+            order = np.argsort(-idf[kinds], kind="stable")
+            rest = idf[b].sum() - np.cumsum((times * idf[kinds])[order])
+            heads += [(bucket, i) for bucket in kinds[order[: 1 + np.count_nonzero(rest >= 0.999 * self.least[i])]].tolist()]
+        heads = np.array(sorted(heads), np.int64).reshape(-1, 2)
+        self.heads, self.head_ends = heads[:, 1], np.searchsorted(heads[:, 0], np.arange(BUCKETS + 2))
+        self.first_vector = np.searchsorted(self.of, np.arange(len(self.items) + 1))
+        self.answers: dict[int, list[int]] = {}
+        for i, (_, own) in enumerate(self.items):
+            self.answers.setdefault(int(_runs(np.array(own[-ANSWER:], np.uint64))[0]), []).append(i)
+        self.answer_keys = np.array(sorted(self.answers), np.uint64)
+
+    def _by_heads(self, padded: np.ndarray, joined: np.ndarray, n: int) -> np.ndarray:
+        """Windows and items, as window * items + item, where one of the two blocks has one of the item's heads."""
+        size = np.diff(self.head_ends)
+        rows, block = np.nonzero(size[padded])
+        bucket = padded[rows, block]
+        block = np.repeat(block, size[bucket])
+        at = np.repeat(self.head_ends[bucket], size[bucket]) + np.arange(len(block)) - np.repeat(np.cumsum(size[bucket]) - size[bucket], size[bucket])
+        item = self.heads[at]
+        before = (block > 0) & joined[np.maximum(block, 1) - 1] if len(joined) else np.zeros(len(block), bool)
+        keys = np.concatenate((block * len(self.items) + item, (block[before] - 1) * len(self.items) + item[before]))
+        keys = np.sort(keys[keys < n * len(self.items)])
+        return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
 
     def find(self, texts: list[str | None]) -> list[dict[int, tuple[float, float, bool, int, int]]]:
         """For each text: item -> (cosine, covered share, answer found, first and end word of the place)."""
@@ -232,34 +273,56 @@ class Searcher:
             z = z[: min(step, len(starts) - i)]
             z /= np.maximum(1e-9, np.linalg.norm(z, axis=1, keepdims=True))
             near = z @ self.vectors.T
-            w, q = np.nonzero(near >= COSINE)
-            item_of = self.of[q]
-            second = np.append(joined, False)[w]
-            shared = np.zeros(len(w), np.float32)
-            for row in padded:
-                shared += self.mass[item_of, row[w]]
-                shared += np.where(second, self.mass[item_of, row[np.minimum(w + 1, len(row) - 1)]], 0)
-            likely = shared >= self.least[item_of]
-            for w, q in zip(w[likely].tolist(), q[likely].tolist(), strict=True):
+            wide = np.concatenate((padded, np.full((BLOCK, 1), BUCKETS, np.int32)), axis=1)  # a block of no words
+            after = np.where(np.append(joined, False), np.arange(1, len(at) + 1), len(at))
+
+            def over(w: np.ndarray, k: np.ndarray, of: np.ndarray, wide: np.ndarray = wide, after: np.ndarray = after) -> np.ndarray:
+                flat, base, total = of.ravel(), k * (BUCKETS + 1), np.zeros(len(w), of.dtype)
+                for block in (w, after[w]):
+                    for row in wide:
+                        total += flat.take(base + row.take(block))
+                return total
+
+            w, k = np.divmod(self._by_heads(padded, joined, len(z)), len(self.items))
+            likely = over(w, k, self.mass) >= self.least[k]
+            lw, lq = np.divmod(np.flatnonzero(near.ravel() >= COSINE), near.shape[1])
+            lk = self.of[lq]
+            like = over(lw, lk, self.has) >= self.fewest[lk]
+            w, k = np.divmod(np.union1d((w * len(self.items) + k)[likely], (lw * len(self.items) + lk)[like]), len(self.items))
+            for w, k in zip(w.tolist(), k.tolist(), strict=True):
                 doc = int(whose[i + w])
-                item, own, distinct = self.items[self.of[q]]
-                if out[doc].get(item, (0, 0))[1] >= 1:
-                    continue
-                at_word = int(starts[i + w])
-                low = max(int(firsts[doc]), at_word - len(own))
-                high = min(int(ends[doc]), at_word + 2 * BLOCK + len(own))
-                place = hashes[low:high].tolist()
-                if len(distinct.intersection(place)) < LIKELY * len(distinct):
-                    continue
-                share = common_subsequence(place, own) / len(own)
-                answer = own[-ANSWER:]
-                found = share >= LIKELY and any(place[j : j + ANSWER] == answer for j in range(len(place) - ANSWER + 1))
-                if share >= SURE or found:
-                    best = out[doc].get(item)
-                    if best is None or share > best[1]:
-                        out[doc][item] = (float(near[w, q]), share, found, low - int(firsts[doc]), high - int(firsts[doc]))
+                cosine = float(near[w, self.first_vector[k] : self.first_vector[k + 1]].max())
+                self._judge(out[doc], k, hashes, int(starts[i + w]), int(firsts[doc]), int(ends[doc]), cosine)
+        for at in np.flatnonzero(np.isin(_runs(hashes), self.answer_keys)).tolist() if len(hashes) >= ANSWER else ():
+            doc = int(owner[at])
+            if owner[at + ANSWER - 1] != doc:
+                continue
+            for k in self.answers[int(_runs(hashes[at : at + ANSWER])[0])]:
+                length = len(self.items[k][1])
+                for w in range(np.searchsorted(starts, max(int(firsts[doc]), at + ANSWER - 2 * BLOCK - length)), np.searchsorted(starts, min(int(ends[doc]), at + length + 1))):
+                    window = _buckets(hashes[starts[w] : min(int(ends[doc]), int(starts[w]) + 2 * BLOCK)])
+                    z = self.weighted[window].sum(axis=0)
+                    vectors = self.vectors[self.of == k]
+                    self._judge(out[doc], k, hashes, int(starts[w]), int(firsts[doc]), int(ends[doc]), float((vectors @ z).max() / max(1e-9, np.linalg.norm(z))))
         return out
 
+    def _judge(self, found: dict[int, tuple[float, float, bool, int, int]], k: int, hashes: np.ndarray, at: int, first: int, end: int, cosine: float) -> None:
+        """Enter the item in found if the words around the window at `at`, of a text from first to end, leak it."""
+        item, own = self.items[k]
+        best = found.get(item)
+        if best is not None and best[1] >= 1:
+            return
+        low, high = max(first, at - len(own)), min(end, at + 2 * BLOCK + len(own))
+        place = hashes[low:high].tolist()
+        there = set(place)
+        if sum(x in there for x in own) < LIKELY * len(own):
+            return
+        share = common_subsequence(place, own) / len(own)
+        answer = own[-ANSWER:]
+        whole = share >= LIKELY and any(place[j : j + ANSWER] == answer for j in range(len(place) - ANSWER + 1))
+        if (share >= SURE or whole) and (best is None or share > best[1]):
+            found[item] = (cosine, share, whole, low - first, high - first)
+
 
 def _searchers(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> Iterator[Searcher]:
     idf = inverse_frequencies(docs)

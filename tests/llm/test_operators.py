@@ -311,6 +311,12 @@ def test_digests_do_not_depend_on_neighbours():
     assert all((x == y[own]).all() for x, y in zip(alone[1:], both[1:], strict=True))
 
 
+@pytest.fixture(scope="module")
+def searcher(spark, docs):
+    bench = table(spark, SF, "benchmark")
+    return next(iter(decontaminate._searchers(docs, bench))), [(b.item_id, b.text) for b in bench.collect()]
+
+
 def test_decontamination(spark, docs):
     items = [(1, " ".join(f"item{i} of" for i in range(20))), (2, "too short"), (3, None)]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -322,6 +328,25 @@ def test_decontamination(spark, docs):
     assert decontaminate.leaks(df, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind, share, tail", [("replace", 0, 0), ("replace", 0.2, 0), ("delete", 0.2, 0), ("insert", 0.2, 0), ("replace", 0.35, 5), ("replace", 0.45, 5), ("delete", 0.35, 5)])
+def test_planted_paraphrases(searcher, docs, kind, share, tail):
+    r, s, items = random.Random(9), *searcher
+    fill = [w for _, t in texts(docs) if t for w in t.split()]
+    rows, want = [], []
+    for item, text in items * 3:
+        own, made = re.findall(r"[^\W_]+", text), []
+        for i, w in enumerate(own):
+            hit = i < len(own) - tail and r.random() < share
+            made += [] if hit and kind == "delete" else [r.choice(fill)] if hit and kind == "replace" else [w, r.choice(fill)] if hit else [w]
+        at = r.randrange(len(fill) - 400)
+        rows.append(" ".join([*fill[at : at + r.randrange(20, 200)], *made, *fill[at + 200 : at + 300]]))
+        a, b = ([h for h in s.words([t])[0].tolist()] for t in (" ".join(made), text))
+        covered = decontaminate.common_subsequence(a, b) / len(b)
+        want.append((item, covered >= 0.75 or covered >= 0.5 and any(a[j : j + 5] == b[-5:] for j in range(len(a) - 4))))
+    found = [item in f for (item, ok), f in zip(want, s.find(rows), strict=True) if ok]
+    assert len(found) > len(items) and np.mean(found) > 0.99
+
+
 def test_common_subsequence():
     r = random.Random(2)
     for _ in range(50):
