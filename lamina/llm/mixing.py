@@ -156,7 +156,7 @@ def assign(sized: DataFrame, made: Plan, seed: int = SEED) -> DataFrame:
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_cut") - ahead)).cast("long")
     others = rows.where(~at_end).withColumn("_part", F.when((F.col("_more") > 0) & (F.col("_b") < F.col("_last")), F.col("size")).otherwise(0).cast("long"))
     both = others.unionByName(rows.where(at_end).withColumn("_part", part))
-    whole = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long")), lambda p: F.struct(p.alias("pass"), (p * F.col("_blocks") + F.col("_b")).alias("draw"), F.when(p < F.col("_passes"), F.col("size")).when(p == F.col("_passes"), F.col("_part")).otherwise(0).alias("words")))
+    whole = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_passes")), lambda p: F.struct(p.alias("pass"), (p * F.col("_blocks") + F.col("_b")).alias("draw"), F.when(p < F.col("_passes"), F.col("size")).when(p == F.col("_passes"), F.col("_part")).otherwise(0).alias("words")))
     kept = [c for c in sized.columns]
     return both.select(*kept, "source_size", "target", "_sid", F.filter(whole, lambda x: x["words"] > 0).alias("copies"))
 

@@ -101,6 +101,16 @@ def test_mixing(request, which):
     assert sorted(map(str, again)) == sorted(map(str, mixing.assign(rows, made).select("doc_id", F.to_json("copies")).collect()))
 
 
+def test_more_than_eight_passes(spark):
+    rows = spark.createDataFrame([(i, f"s{i % 2}", 10 if i % 2 else 500) for i in range(40)], "doc_id long, source string, size long")
+    made = mixing.plan(rows, weights=(1, 1), share=1.5, repeats=20, block_words=50)
+    got = mixing.assign(rows, made).select("source", "target", F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"]).alias("taken")).collect()
+    for name in ("s0", "s1"):
+        target = next(r.target for r in got if r.source == name)
+        assert abs(sum(r.taken for r in got if r.source == name) - target) <= 1
+    assert max(r.taken for r in got if r.source == "s1") == 200  # twenty times its ten words
+
+
 def test_mixture_rows(docs, odd, empty):
     got = mixing.mix(docs, block_words=500, shard_words=3000).select("doc_id", "taken", "shard", "pass", mixing.word_count().alias("w"))
     rows = got.collect()
