@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WS = r"[\x20\x09-\x0D]"
@@ -24,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a new local folder if the master is this machine alone; else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: executors on several machines need a folder they share")
         base = "file://" + tempfile.mkdtemp(prefix="lamina-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -54,6 +57,16 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def packed(df: DataFrame, *names: str) -> DataFrame:
+    """The whole row in one column `_row`, beside the columns named: names given to new columns cannot clash with the caller's."""
+    return df.select(F.struct(*(df[f"`{c}`"] for c in df.columns)).alias("_row"), *names)
+
+
+def unpacked(like: DataFrame, **new: Column) -> list[Column]:
+    """The caller's columns out of `_row`, some of them replaced."""
+    return [(new[c] if c in new else F.col("_row").getField(c)).alias(c) for c in like.columns]
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about `limit` bytes in one text column; a longer text stands alone."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)

@@ -10,7 +10,8 @@
 3. Splitting tree: the quotas of a node, one number a source, are parted between its two children by
    multivariate hypergeometric draws, down to one leaf a shard. A leaf takes, of every source, as
    many of the next permuted blocks as its quota says: disjoint by construction.
-4. Rows are shuffled within their shard by hash.
+4. A document's copies are what the leaves that drew its block take of it, each with its shard and a
+   random position there; write_shards orders every shard by position: the local shuffle.
 
 Draws come from hashes of seed, node and source: reruns agree.
 """
@@ -23,17 +24,18 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.llm.common import WORD, cut, small
+from lamina.llm.common import WORD, cut, packed, small, unpacked
 
 WEIGHTS = (5, 2, 1)
 SEED = 7
 _SUPER = 1024  # blocks a group for running sums
+SPREAD = 6  # levels of the tree between two repartitions of its nodes
 
 
 @dataclass
 class Plan:
     sources: DataFrame  # a row a source, with its target and where its draws end
-    shards: DataFrame  # _sid, _k, shard: where each block draw goes
+    draws: DataFrame  # _sid, _b, draws: for each block the leaves that drew it, an array of (pass, shard)
 
 
 def word_count(text: str = "text") -> Column:
@@ -101,32 +103,40 @@ def _left(quotas: Column, node: Column, seed: int) -> Column:
 def splitting_tree(quotas: DataFrame, depth: int, seed: int = SEED) -> DataFrame:
     """_sid, shard, first, last: the half-open range of each source's draws that each of 2**depth shards takes.
 
-    quotas: _sid (0, 1, ...) and quota, one row a source.
+    quotas: _sid (0, 1, ...) and quota, one row a source. A node carries, for every source, how many draws
+    it has and where they begin, so a leaf needs no other leaf; levels are spread over tasks as they grow.
     """
     gathered = F.sort_array(F.collect_list(F.struct("_sid", "quota")))
-    nodes = quotas.agg(F.transform(gathered, lambda x: x["quota"].cast("long")).alias("q")).select(F.lit(0).cast("long").alias("shard"), "q")
+    nodes = quotas.agg(F.transform(gathered, lambda x: x["quota"].cast("long")).alias("q")).select(F.lit(0).cast("long").alias("shard"), "q", F.transform("q", lambda _: F.lit(0).cast("long")).alias("o"))
     for level in range(depth):
+        if level and level % SPREAD == 0:
+            nodes = cut(nodes.repartition("shard"), "nodes")
         nodes = nodes.withColumn("l", _left(F.col("q"), F.col("shard") + (1 << level), seed))
-        nodes = nodes.select("shard", "l", F.zip_with("q", "l", lambda q, x: q - x).alias("r"))
-        nodes = nodes.select(F.inline(F.array(F.struct((2 * F.col("shard")).alias("shard"), F.col("l").alias("q")), F.struct((2 * F.col("shard") + 1).alias("shard"), F.col("r").alias("q")))))
-    leaves = nodes.select("shard", F.posexplode("q").alias("_sid", "n"))
-    last = F.sum("n").over(Window.partitionBy("_sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
-    return leaves.withColumn("last", last).select("_sid", "shard", (F.col("last") - F.col("n")).alias("first"), "last")
+        left = F.struct((2 * F.col("shard")).alias("shard"), F.col("l").alias("q"), F.col("o").alias("o"))
+        right = F.struct((2 * F.col("shard") + 1).alias("shard"), F.zip_with("q", "l", lambda q, x: q - x).alias("q"), F.zip_with("o", "l", lambda o, x: o + x).alias("o"))
+        nodes = nodes.select(F.inline(F.array(left, right)))
+    leaves = nodes.select("shard", F.posexplode(F.arrays_zip("q", "o")).alias("_sid", "x"))
+    return leaves.select("_sid", "shard", F.col("x.o").alias("first"), (F.col("x.o") + F.col("x.q")).alias("last"))
+
+
+def row_key() -> Column:
+    """A hash of a row: doc_id, source and text, so that rows of one id fall into different blocks. Wholly equal rows share it, and any of them may stand for another."""
+    return F.xxhash64("doc_id", "source", "text")
 
 
 def _block(seed: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size")), F.col("_blocks"))
+    return F.pmod(F.xxhash64(F.lit(seed), F.col("key")), F.col("_blocks"))
 
 
 def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, repeats: int = 2, block_words: int = 1 << 16, shard_words: int = 1 << 24, seed: int = SEED) -> Plan:
-    """Targets, quotas and the splitting tree. sized: doc_id, source and size of every document."""
+    """Targets, quotas and the splitting tree. sized: key, source and size of every document."""
     sources = targets(sized, weights, share, repeats)
     sources = sources.withColumn("_blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("long"))
     sources = sources.withColumn("_want", F.least(F.round("target").cast("long"), repeats * F.col("source_size")))
     size = F.greatest(F.col("source_size"), F.lit(1))
     sources = cut(sources.withColumn("_passes", F.floor(F.col("_want") / size).cast("long")).withColumn("_more", F.col("_want") % size), "sources")
 
-    told = sized.select("doc_id", "source", "size").join(small(sources.select(F.col("source").alias("_source"), "_sid", "_blocks")), F.col("source").eqNullSafe(F.col("_source")))
+    told = sized.select("key", "source", "size").join(small(sources.select(F.col("source").alias("_source"), "_sid", "_blocks")), F.col("source").eqNullSafe(F.col("_source")))
     blocks = told.withColumn("_b", _block(seed)).groupBy("_sid", "_b").agg(F.sum("size").alias("words"))
     blocks = cut(blocks.withColumn("_group", F.floor(F.col("_b") / _SUPER)), "blocks")
     group = Window.partitionBy("_sid").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
@@ -141,24 +151,35 @@ def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.
 
     words = sources.agg(F.coalesce(F.sum("_want"), F.lit(0))).first()[0]
     depth = max(0, math.ceil(math.log2(max(1, words / shard_words))))
-    tree = splitting_tree(sources.select("_sid", F.col("_quota").alias("quota")), depth, seed)
-    shards = tree.where("first < last").select("_sid", "shard", F.explode(F.sequence("first", F.col("last") - 1)).alias("_k"))
-    return Plan(sources, cut(shards, "shards"))
+    tree = splitting_tree(sources.select("_sid", F.col("_quota").alias("quota")), depth, seed).where("first < last")
+    draws = tree.join(small(sources.select("_sid", "_blocks")), "_sid").select("_sid", "shard", "_blocks", F.explode(F.sequence("first", F.col("last") - 1)).alias("_k"))
+    there = F.struct(F.floor(F.col("_k") / F.col("_blocks")).alias("pass"), "shard")
+    draws = draws.groupBy("_sid", (F.col("_k") % F.col("_blocks")).alias("_b")).agg(F.sort_array(F.collect_list(there)).alias("draws"))  # a draw a pass
+    return Plan(sources, cut(draws, "draws"))
 
 
-def assign(sized: DataFrame, made: Plan, seed: int = SEED) -> DataFrame:
-    """sized with source_size, target and copies: an array of (pass, draw, words), one for each time the document is taken."""
+def assign(rows: DataFrame, made: Plan, seed: int = SEED, size: Column | None = None, taken_only: bool = False) -> DataFrame:
+    """rows with size, source_size, target and copies: an array of (pass, shard, position, words), one for each time the tree takes the document.
+
+    rows: key, source and what else is to be kept; size: how to get a document's words where rows do not hold them.
+    taken_only: leave out the documents that are not taken.
+    """
     own = made.sources.withColumnRenamed("source", "_source")
-    rows = sized.join(small(own), F.col("source").eqNullSafe(F.col("_source"))).withColumn("_b", _block(seed))
+    found = rows.join(small(own), F.col("source").eqNullSafe(F.col("_source"))).withColumn("_b", _block(seed))
+    found = found.join(small(made.draws), ["_sid", "_b"], "inner" if taken_only else "left")
     at_end = (F.col("_b") == F.col("_last")) & (F.col("_cut") > 0)
-    order = Window.partitionBy("_sid").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = F.coalesce(F.sum("size").over(order), F.lit(0))
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_cut") - ahead)).cast("long")
-    others = rows.where(~at_end).withColumn("_part", F.when((F.col("_more") > 0) & (F.col("_b") < F.col("_last")), F.col("size")).otherwise(0).cast("long"))
-    both = others.unionByName(rows.where(at_end).withColumn("_part", part))
-    whole = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_passes")), lambda p: F.struct(p.alias("pass"), (p * F.col("_blocks") + F.col("_b")).alias("draw"), F.when(p < F.col("_passes"), F.col("size")).when(p == F.col("_passes"), F.col("_part")).otherwise(0).alias("words")))
-    kept = [c for c in sized.columns]
-    return both.select(*kept, "source_size", "target", "_sid", F.filter(whole, lambda x: x["words"] > 0).alias("copies"))
+    sizes = lambda df: df if size is None else df.withColumn("size", size)
+    others = sizes(found.where(~at_end)).withColumn("_part", F.when((F.col("_more") > 0) & (F.col("_b") < F.col("_last")), F.col("size")).otherwise(0).cast("long"))
+    # the last block of a source: about block_words words
+    order = Window.partitionBy("_sid").orderBy(F.xxhash64(F.lit(seed + 1), "key"), "key").rowsBetween(Window.unboundedPreceding, -1)
+    last = sizes(found.where(at_end)).withColumn("_ahead", F.coalesce(F.sum("size").over(order), F.lit(0)))
+    last = last.withColumn("_part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("_cut") - F.col("_ahead"))).cast("long")).drop("_ahead")
+    words = lambda p: F.when(p < F.col("_passes"), F.col("size")).when(p == F.col("_passes"), F.col("_part")).otherwise(0)
+    place = lambda p: F.xxhash64(F.lit(seed + 2), "key", p)
+    copy = lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"), place(d["pass"]).alias("position"), words(d["pass"]).cast("long").alias("words"))
+    copies = F.filter(F.transform(F.coalesce("draws", F.array().cast("array<struct<pass:bigint,shard:bigint>>")), copy), lambda x: x["words"] > 0)
+    kept = [c for c in rows.columns if c != "size"]
+    return others.unionByName(last).select(*kept, "size", "source_size", "target", copies.alias("copies"))
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -171,21 +192,20 @@ def mix(docs: DataFrame, seed: int = SEED, **how: object) -> DataFrame:
     """The mixture: a row for each time a document is taken, with its columns, `pass`, `taken` (words), shard and position.
 
     A document that is taken in part keeps the text up to its last word taken. Documents without words
-    weigh nothing and are not taken. A null source is a source, the last. Repeated rows are documents of
-    their own. An empty table gives an empty mixture. Columns of docs named pass, taken, shard, position
-    or size are replaced.
+    weigh nothing and are not taken. A null source is a source, the last; a null doc_id is a value like any other.
+    Repeated rows are documents of their own (of equal rows, which is taken in part makes no difference).
+    An empty table gives an empty mixture. Extra columns are kept, whatever their names, but for those named
+    pass, taken, shard and position, which are replaced. Rows of a shard are in random order when sorted by
+    position; write_shards does that.
     """
-    docs = docs.drop("pass", "taken", "shard", "position", "size")
-    sized = docs.withColumn("size", word_count())
-    made = plan(cut(sized.select("doc_id", "source", "size"), "sizes"), seed=seed, **how)
-    rows = assign(sized, made, seed).select(*sized.columns, "_sid", F.explode("copies").alias("_copy"))
-    rows = rows.join(small(made.shards.withColumnRenamed("_sid", "_s")), (F.col("_sid") == F.col("_s")) & (F.col("_copy.draw") == F.col("_k")))
+    docs = docs.drop("pass", "taken", "shard", "position")
+    rows = packed(docs, "source", "text", row_key().alias("key"))
+    made = plan(cut(rows.select("source", "key", word_count().alias("size")), "sizes"), seed=seed, **how)
+    taken = assign(rows, made, seed, word_count(), taken_only=True).select("_row", "text", "size", F.explode("copies").alias("_copy"))
     text = F.when(F.col("_copy.words") < F.col("size"), first_words(F.col("text"), F.col("_copy.words"))).otherwise(F.col("text"))
-    position = F.xxhash64(F.lit(seed + 2), "doc_id", "_copy.pass", "size")
-    out = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return rows.select(*out, F.col("_copy.pass").alias("pass"), F.col("_copy.words").alias("taken"), "shard", position.alias("position"))
+    return taken.select(*unpacked(docs, text=text), F.col("_copy.pass").alias("pass"), F.col("_copy.words").alias("taken"), F.col("_copy.shard").alias("shard"), F.col("_copy.position").alias("position"))
 
 
 def write_shards(mixed: DataFrame, path: str) -> None:
-    """A folder a shard, each in the order of its positions."""
+    """A folder a shard, each in the order of its positions: the local shuffle."""
     mixed.repartition("shard").sortWithinPartitions("shard", "position").write.partitionBy("shard").parquet(path)

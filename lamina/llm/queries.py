@@ -19,12 +19,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the mixture takes of every document: doc_id, size, source_size, target, taken, and where it goes."""
+    """What the splitting tree's leaves take of every document: doc_id, size, source_size, target, taken, times, and copies, an array of (pass, shard, position, words)."""
     docs = table(spark, sf_dir, "documents")
-    sized = cut(docs.select("doc_id", "source", mixing.word_count().alias("size")), "sizes")
-    made = mixing.plan(sized)
+    sized = cut(docs.select("doc_id", "source", mixing.row_key().alias("key"), mixing.word_count().alias("size")), "sizes")
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])
-    return mixing.assign(sized, made).select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.size("copies").alias("times"))
+    return mixing.assign(sized, mixing.plan(sized)).select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.size("copies").alias("times"), "copies")
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
