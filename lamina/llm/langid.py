@@ -7,7 +7,7 @@ related languages apart, by votes and then by margins.
 
 Features are counts of hashed runs of one to three letters of the whole text, square roots taken, of
 unit length. The machines are fitted on a bounded sample: about `per_language` labelled documents of
-each language, drawn by hash from all of them.
+each language and ROWS_IN_ALL together, drawn by hash from all of them.
 """
 
 from __future__ import annotations
@@ -21,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import cut, slices
+from lamina.llm.common import cut, slices, small
 
 DIMENSIONS = 2048
 PER_LANGUAGE = 600
+ROWS_IN_ALL = 24_000  # 4 kB each on the driver
 FAMILY_COSINE = 0.55
 UNKNOWN = "und"
 
@@ -148,12 +149,17 @@ def fit(x: np.ndarray, y: list[str], families: list[list[str]] | None = None) ->
 
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """text and lang of about per_language labelled rows of each language that may be learned from."""
-    free = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    """text and lang of about per_language labelled rows of each language that may be learned from (fewer where ROWS_IN_ALL languages share them).
+
+    A row is drawn by a hash of its id and text; rows that repeat both are drawn, or not, together and count once.
+    """
+    key = F.xxhash64(F.lit(11), "doc_id", "text")
+    free = docs.select("text", "lang", held_out(F.col("doc_id")).alias("_held"), key.alias("_key")).where(~F.col("_held") & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = cut(free.groupBy("lang").count(), "languages")
-    share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count"))
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(11), "doc_id"), 11).cast("double") * 2.0**-53
-    return free.join(F.broadcast(counts.select("lang", share.alias("_share"))), "lang").where(draw < F.col("_share")).select("text", "lang")
+    most = min(float(per_language), ROWS_IN_ALL / max(1, counts.count()))
+    draw = F.shiftrightunsigned("_key", 11).cast("double") * 2.0**-53
+    told = small(counts.select(F.col("lang").alias("_lang"), F.least(F.lit(1.0), F.lit(most) / F.col("count")).alias("_share")))
+    return free.join(told, F.col("lang") == F.col("_lang")).where(draw < F.col("_share")).select("text", "lang", "_key").dropDuplicates(["_key", "lang"]).drop("_key")
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
@@ -177,7 +183,9 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """A row per row of docs: doc_id, held_out, lang_pred and score (0 to 1).
 
     Learned from text and lang of rows that are not held out; a null doc_id counts as held out. A text
-    that is null or has no letter gets `und` and 0, as does every text when there is nothing to learn from.
+    that is null or has no letter gets `und` and 0, as does every text when there is nothing to learn from. Ties of
+    votes and margins go to the first language in order. Repeated rows have a row each; an empty table has none.
+    Extra columns are not read.
     """
     model = train(docs, per_language)
 

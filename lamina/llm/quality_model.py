@@ -3,7 +3,7 @@
 P(grade >= k) = logistic(score - threshold_k) with one score for all grades, the weighted sum of a
 text's hashed words, and ordered thresholds. The expected grade is the sum of the tail probabilities.
 Grades come from labels: 0 for toxic, 1 for plain low quality, 2 for good. The model is fitted on a
-bounded sample of labelled documents, about `per_grade` of each grade, drawn by hash.
+bounded sample of labelled documents, about `per_grade` of each grade, drawn by a hash of id and text.
 
 Features of a whole text: square roots of hashed word counts, of unit length, and shares of letters in
 upper case, symbols, digits and repeated words. Words are runs of letters and digits.
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import WordHashes, cut, slices
+from lamina.llm.common import WordHashes, cut, slices, small
 
 DIMENSIONS = 1 << 18
 EXTRA = 6
@@ -115,9 +115,13 @@ def grade(labels: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, per_grade: int = PER_GRADE) -> Model | None:
     """A model of a bounded sample of labelled documents; None without labelled documents."""
     graded = cut(grade(labels), "grades")
+    # documents are known by id and text: a repeated one counts once, and what reaches the driver is bounded by rows, not ids
+    key = F.xxhash64(F.lit(13), "doc_id", "text")
+    there = docs.select(F.col("doc_id").alias("_id"), key.alias("_key")).join(small(graded), F.col("_id") == F.col("doc_id")).select("_key", "grade").distinct()
+    there = cut(there, "labelled")
     share = F.least(F.lit(1.0), F.lit(float(per_grade)) / F.col("count"))
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(13), "doc_id"), 11).cast("double") * 2.0**-53
-    picked = graded.join(F.broadcast(graded.groupBy("grade").count()), "grade").where(draw < share).select(F.col("doc_id").alias("_id"), "grade")
+    draw = F.shiftrightunsigned("_key", 11).cast("double") * 2.0**-53
+    picked = there.join(F.broadcast(there.groupBy("grade").count()), "grade").where(draw < share).select(F.col("_key").alias("_picked"), "grade")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
@@ -129,11 +133,11 @@ def train(docs: DataFrame, labels: DataFrame, per_grade: int = PER_GRADE) -> Mod
                     names=["doc_id", "grade", "c", "v"],
                 )
 
-    # bounded: at most about per_grade rows a grade
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "grade").mapInArrow(run, "doc_id long, grade int, c binary, v binary").toArrow()
+    rows = docs.select("text", key.alias("doc_id")).join(small(picked), F.col("doc_id") == F.col("_picked")).select("doc_id", "text", "grade")
+    rows = rows.mapInArrow(run, "doc_id long, grade int, c binary, v binary").dropDuplicates(["doc_id"]).toArrow()  # about per_grade rows a grade
     if not rows.num_rows:
         return None
-    rows = rows.sort_by([("doc_id", "ascending"), ("c", "ascending")]) if rows.num_rows else rows
+    rows = rows.sort_by([("doc_id", "ascending"), ("c", "ascending")])
     vectors = [(np.frombuffer(c, np.int32), np.frombuffer(v, np.float32)) for c, v in zip(rows.column("c").to_pylist(), rows.column("v").to_pylist(), strict=True)]
     return fit(vectors, np.array(rows.column("grade").to_pylist()), LEVELS)
 
@@ -142,7 +146,9 @@ def rate(docs: DataFrame, labels: DataFrame, least_tail: float = 0.5, per_grade:
     """A row per row of docs: doc_id, expected_grade (0 to 2), p_not_toxic (grade >= 1), p_good (grade >= 2), kept.
 
     kept: p_not_toxic and p_good both reach least_tail. Null texts count as empty. Without labelled
-    documents the probabilities are null and everything is kept.
+    documents the probabilities are null and everything is kept. Labels of unknown documents and null ids are passed
+    over; of several labels of a document the lowest grade counts. Ids may be of any type that labels share. Repeated
+    rows have a row each; an empty table has none. Extra columns are not read.
     """
     model = train(docs, labels, per_grade)
 
