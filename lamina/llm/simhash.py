@@ -30,13 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import cut, mix, slices, small
+from lamina.llm.common import cut, mix, packed, slices, small, unpacked
 
 TILE = 4096
 SETS_TILE = 1024  # sets a tile, and so many shingles, where sets are compared exactly
 SHINGLES_TILE = 1 << 21
 _SUB = 512
-_PRINT_SCHEMA = "doc_id long, node long, fp binary, keys array<long>, n_shingles long, text_key long"
+_PRINT_SCHEMA = "node long, fp binary, keys array<long>, n_shingles long, text_key long"
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -92,11 +92,11 @@ def fingerprints(docs: DataFrame, shingle: int = 3, bits: int = 64, distinct: bo
                     nodes.append(int(p[0]) if lanes == 1 else xxhash.xxh64_intdigest(raw))
                     mins.append([int(mix(h ^ np.uint64(k * 0x9E3779B9 + 1)).min().view(np.int64)) for k in range(keys)] if len(h) else [0] * keys)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").cast(pa.int64()), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(prints, pa.binary()), pa.array(mins, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), batch.column("text_key")],
+                    [batch.column("doc_id"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(prints, pa.binary()), pa.array(mins, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), batch.column("text_key")],
                     names=["doc_id", "node", "fp", "keys", "n_shingles", "text_key"],
                 )
 
-    made = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, _PRINT_SCHEMA)
+    made = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_PRINT_SCHEMA}")
     return made if distinct else made.drop("n_shingles", "text_key")
 
 
@@ -312,42 +312,48 @@ def groups(docs: DataFrame, shingle: int = 3, bits: int = 64, radius: int = 3, s
 
     Fingerprints link at `radius` or fewer differing bits. With `similarity` the fingerprints speak of sets
     of shingles, and the radius is where sets of that Jaccard similarity are expected plus two deviations;
-    a link then also needs that similarity of the sets themselves.
+    a link then also needs that similarity of the sets themselves, and rows also have text_key, a hash of the
+    text, and head: doc_id and text_key of the group's first row (by doc_id, null last, then text_key).
     Null and empty texts have the fingerprint zero and are linked like others. A null doc_id is passed
-    over when the smallest is sought; a group of such rows only has a null component_id. Extra columns
-    are not read. An empty table gives an empty result.
+    over when the smallest is sought; a group of such rows only has a null component_id. doc_id may be of any
+    ordered type. Extra columns are not read. An empty table gives an empty result.
     """
     by_keys = similarity is not None
     if by_keys:
         p = math.acos(2 * similarity / (1 + similarity)) / math.pi
         radius = math.floor(bits * p + 2 * math.sqrt(bits * p * (1 - p)))
     prints = cut(fingerprints(docs, shingle, bits, by_keys, keys if by_keys else 0), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key") if by_keys else F.lit(None).cast("string")
     sample = [F.min_by("n_shingles", F.struct("doc_id", "text_key")).alias("n_shingles"), F.min(F.struct("doc_id", "text_key")).alias("sample")] if by_keys else []
-    distinct = cut(prints.groupBy("node", "fp").agg(F.min("doc_id").alias("least_doc"), F.min("keys").alias("keys"), *sample), "distinct")
+    distinct = cut(prints.groupBy("node", "fp").agg(F.min("doc_id").alias("least_doc"), F.min("keys").alias("keys"), F.min(first).alias("head"), *sample), "distinct")
     joined = cut(components(links(distinct, bits, radius, by_keys)), "components")
     if by_keys:
         joined = cut(components(confirmed(docs, distinct, joined, shingle, bits, radius, similarity)), "components")
-    named = distinct.join(joined, "node", "left").select("node", "fp", "least_doc", F.coalesce("root", "node").alias("root"))
+    named = distinct.join(joined, "node", "left").select("node", "fp", "least_doc", "head", F.coalesce("root", "node").alias("root"))
     heads = named.where("root <> node").select("root").distinct()
     linked = named.join(heads, "root", "left_semi")
-    of_root = linked.groupBy("root").agg(F.min("least_doc").alias("component_id"))
-    of_node = linked.join(of_root, "root").select("node", "fp", "component_id")
-    alone = named.join(heads, "root", "left_anti").select("node", "fp", F.col("least_doc").alias("component_id"))
+    of_root = linked.groupBy("root").agg(F.min("least_doc").alias("component_id"), F.min("head").alias("head"))
+    of_node = linked.drop("head").join(of_root, "root").select("node", "fp", "component_id", "head")
+    alone = named.join(heads, "root", "left_anti").select("node", "fp", F.col("least_doc").alias("component_id"), "head")
     classes = of_node.union(alone).withColumnRenamed("fp", "fp_")
-    return prints.join(classes, (prints.node == classes.node) & (prints.fp == classes.fp_)).select("doc_id", "fp", "component_id")
+    found = prints.join(classes, (prints.node == classes.node) & (prints.fp == classes.fp_))
+    return found.select("doc_id", "fp", "component_id", *(["text_key", "head"] if by_keys else []))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits: int = 256) -> DataFrame:
-    """docs without the near copies: of each group the row with the smallest doc_id stays.
+    """docs without the near copies: of each group the first row stays, by doc_id (null last), then a hash of the text.
 
-    Of repeated rows with that doc_id one stays. Rows with a null doc_id cannot be told apart and stay.
-    Extra columns are kept, whatever their names.
+    A row is known by its doc_id and text: rows that share an id only are documents of their own, and of rows with the same
+    id and text one stays. Null ids are ids like others. Extra columns are kept, whatever their names. An empty table stays empty.
     """
-    per = groups(docs, shingle, bits, similarity=similarity).where("doc_id is not null").groupBy("doc_id").agg(F.count_if(F.col("doc_id") == F.col("component_id")).alias("heads"))
-    per = cut(per, "heads")
-    # the ids that go are fewer than those that stay, and so is what meets the texts
-    gone = cut(per.where("heads = 0").select(F.col("doc_id").alias("_gone")), "gone")
-    out = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    if per.where("heads > 1").isEmpty():
-        return out
-    return out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
+    per = groups(docs, shingle, bits, similarity=similarity).groupBy("doc_id", "text_key").agg(F.first("head").alias("head"), F.count("*").alias("rows"))
+    stays = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_key") == F.col("head.text_key"))
+    per = cut(per.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "rows", stays.alias("stays")), "heads")
+    rows = packed(docs, "doc_id", F.xxhash64("text").alias("text_key"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
+    # the rows that go are fewer than those that stay, and so is what meets the texts
+    out = rows.join(cut(per.where(~F.col("stays")).select("_id", "_key"), "gone"), same, "left_anti")
+    repeated = cut(per.where(F.col("stays") & (F.col("rows") > 1)).select("_id", "_key"), "repeated")
+    if not repeated.isEmpty():
+        out = out.join(repeated, same, "left_anti").unionByName(out.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text_key"]))
+    return out.select(*unpacked(docs))
