@@ -4,10 +4,13 @@ A byte ends a chunk where the gear hash of the 16 bytes up to it has its top bit
 on nearby content alone: an insertion moves cuts near it and no others. Chunks start about every 32 bytes (at cuts with one more zero bit);
 as so short a chunk may repeat by chance, a chunk's digest covers the chunk and those that follow until
 `least` bytes are covered. Digests (96 bits) that more than one document holds mark their bytes as
-repeated; a document's marks are merged to spans. The document with the smallest doc_id that holds a
-digest owns it; the others may lose it.
+repeated; a document's marks are merged to spans, and spans of `passage` bytes or more are reported: shorter
+ones are single lines. The document with the smallest doc_id that holds a digest owns it; the others may lose it.
 
 Cuts fall between code points. A stretch without a cut is cut every `longest` bytes after the last one.
+
+Texts are chunked once and chunks shuffled once, by digest. The most frequent digests of a sample of the documents are
+dealt over SALTS tasks each; what is sampled decides where a chunk goes, not what is found.
 """
 
 from __future__ import annotations
@@ -16,15 +19,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.llm.common import mix, powers, slices
+from lamina.llm.common import cut, mix, packed, powers, slices, unpacked
 
 WINDOW = 16
 CUT_BITS = 5  # chunks start every 2**5 bytes on average; there are twice as many ends
 LEAST = 64
 LONGEST = 64
+PASSAGE = 100  # bytes of the shortest passage that is reported
+SAMPLED = 64
+HOT = 1024  # digests that are dealt over SALTS tasks
+HOT_COUNT = 32  # chunks of such a digest in the sample, at least
+SALTS = 64  # fewer than 256
 _GEAR = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -93,57 +101,96 @@ class Digests:
 
 
 def chunks(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """doc_id, start, stop (bytes), d1, d2: every grown chunk of every text. Null texts and null ids have none."""
+    """doc_id, span (start and stop in bytes, packed), d1, d2: every grown chunk of every text. Null texts and null ids have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digests = Digests()
         for whole in batches:
             for batch in slices(whole, "text", 1_000_000):
-                ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
                 owner, starts, stops, d1, d2 = digests([t.encode() for t in batch.column("text").to_pylist()], least)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[owner].astype(np.int64)), pa.array(starts.astype(np.int32)), pa.array(stops.astype(np.int32)), pa.array(d1.view(np.int64)), pa.array((d2 >> np.uint64(32)).astype(np.uint32).view(np.int32))],
-                    names=["doc_id", "start", "stop", "d1", "d2"],
+                    [batch.column("doc_id").take(pa.array(owner)), pa.array(starts << 32 | stops), pa.array(d1.view(np.int64)), pa.array((d2 >> np.uint64(32)).astype(np.int64))],
+                    names=["doc_id", "span", "d1", "d2"],
                 )
 
-    return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, start int, stop int, d1 long, d2 int")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, span long, d1 long, d2 long")
+
+
+def frequent(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """d1, d2, hot: at most HOT digests, the most frequent ones among every SAMPLED-th document, by hash."""
+    some = chunks(docs.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(SAMPLED)) == 0), least)
+    counts = some.groupBy("d1", "d2").count().where(F.col("count") >= HOT_COUNT)
+    return cut(counts.orderBy(F.desc("count"), "d1", "d2").limit(HOT).select("d1", "d2", F.lit(True).alias("hot")), "hot-digests")
 
 
-def _merge(spans, gap: int = 0):  # noqa: ANN001, ANN202
-    """Sorted spans (start, stop) of an array column, merged where they meet."""
-    start = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("stop"), F.array().cast("array<struct<start:int,stop:int>>").alias("out"))
+def marks(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """doc_id, span, owner: the chunks whose digest another document holds too, and the smallest doc_id that holds it."""
+    salted = chunks(docs, least).join(F.broadcast(frequent(docs, least)), ["d1", "d2"], "left")
+    salt = F.when(F.col("hot"), F.pmod(F.hash("doc_id"), F.lit(SALTS)) + 1).otherwise(0)
+    dealt = salted.select("doc_id", "span", "d1", (F.shiftleft("d2", 8) + salt).alias("d2"))  # 32 bits and the salt
+    same = Window.partitionBy("d1", "d2")
+    found = dealt.select("*", F.min("doc_id").over(same).alias("owner"), F.max("doc_id").over(same).alias("last"))
+    found = cut(found.where("owner <> last or d2 & 255 <> 0"), "marks")
+    cold = found.where("d2 & 255 = 0").select("doc_id", "span", "owner")
+    hot = found.where("d2 & 255 <> 0").withColumn("d2", F.shiftright("d2", 8))
+    owners = hot.groupBy("d1", "d2").agg(F.min("owner").alias("_owner"), F.max("last").alias("_last")).where("_owner <> _last").drop("_last")
+    return cold.unionByName(hot.join(F.broadcast(owners), ["d1", "d2"]).select("doc_id", "span", F.col("_owner").alias("owner")))
 
-    def step(acc, x):  # noqa: ANN001, ANN202
-        meets = (acc["stop"] >= 0) & (x["start"] <= acc["stop"] + gap)
-        done = F.when(acc["stop"] < 0, acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(acc["start"].alias("start"), acc["stop"].alias("stop")))))
-        return F.struct(F.when(meets, acc["start"]).otherwise(x["start"]).alias("start"), F.when(meets, F.greatest(acc["stop"], x["stop"])).otherwise(x["stop"]).alias("stop"), F.when(meets, acc["out"]).otherwise(done).alias("out"))
 
-    last = lambda acc: F.when(acc["stop"] < 0, acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(acc["start"].alias("start"), acc["stop"].alias("stop")))))
-    return F.aggregate(F.sort_array(spans), start, step, last)
+def merged(spans: np.ndarray, passage: int) -> np.ndarray:
+    """Packed spans as rows of start and stop, merged where they meet; of them those of `passage` bytes or more."""
+    spans = np.unique(spans)
+    start, stop = spans >> 32, np.maximum.accumulate(spans & 0xFFFFFFFF)
+    new = np.flatnonzero(np.append(True, start[1:] > stop[:-1])) if len(spans) else np.empty(0, np.int64)
+    out = np.stack((start[new], stop[np.append(new[1:], len(spans)) - 1]), axis=1) if len(new) else np.empty((0, 2), np.int64)
+    return out[out[:, 1] - out[:, 0] >= passage]
 
 
-def repeated(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def repeated(docs: DataFrame, least: int = LEAST, passage: int = PASSAGE) -> DataFrame:
     """A row for each document that shares a passage: doc_id, spans (bytes, merged), n_bytes in them, removable spans and owners.
 
-    removable: the spans that a document with a smaller doc_id holds too; owners: those documents' ids, sorted.
+    removable: the spans that documents with smaller doc_ids hold too; owners: those documents' ids, sorted.
     A passage repeated within one document only is not reported, and rows that repeat a doc_id count as one document.
+    Null ids, null and empty texts have no row, nor has an empty table. doc_id may be of any ordered type. Extra columns are not read.
+    """
+    kind = docs.schema["doc_id"].dataType
+    found = F.struct("span", "owner", (F.col("owner") < F.col("doc_id")).alias("lost"))
+    rows = marks(docs, least).groupBy("doc_id").agg(F.collect_set(found).alias("marks"))
+    span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            all_ = batch.column("marks")
+            ends, flat = all_.offsets.to_numpy(), all_.values
+            spans, owners, lost = flat.field("span").to_numpy(), flat.field("owner"), flat.field("lost").to_numpy(zero_copy_only=False)
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for i, key in enumerate(batch.column("doc_id")):
+                own, gone = spans[ends[i] : ends[i + 1]], np.flatnonzero(lost[ends[i] : ends[i + 1]])
+                whole, free = merged(own, passage), merged(own[gone], passage)
+                if not len(whole):
+                    continue
+                at = np.searchsorted(free[:, 0], own[gone] >> 32, side="right") - 1
+                inside = gone[(at >= 0) & ((own[gone] >> 32) < free[at, 1])] if len(free) else gone[:0]
+                rows = lambda x: [{"start": a, "stop": b} for a, b in x.tolist()]
+                for column, value in zip(out, (key, rows(whole), int((whole[:, 1] - whole[:, 0]).sum()), rows(free), owners.take(pa.array(ends[i] + inside)).unique().sort()), strict=True):
+                    column.append(value)
+            ids = batch.column("doc_id").type
+            yield pa.RecordBatch.from_arrays([pa.array([k.as_py() for k in out[0]], ids), pa.array(out[1], span), pa.array(out[2], pa.int64()), pa.array(out[3], span), pa.array([o.to_pylist() for o in out[4]], pa.list_(ids))], names=["doc_id", "spans", "n_bytes", "removable", "owners"])
+
+    spans = "array<struct<start:int,stop:int>>"
+    return rows.mapInArrow(run, f"doc_id {kind.simpleString()}, spans {spans}, n_bytes long, removable {spans}, owners array<{kind.simpleString()}>")
+
+
+def remove_repeats(docs: DataFrame, least: int = LEAST, passage: int = PASSAGE) -> DataFrame:
+    """docs with the removable spans of repeated passages taken out of text.
+
+    Rows that repeat a doc_id lose the same spans (a text that ends before them stays whole). Null texts and ids stay as they are; extra columns stay, whatever their names.
     """
-    all_ = chunks(docs, least)
-    shared = all_.groupBy("d1", "d2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("_last")).where("owner <> _last").drop("_last")
-    marks = all_.join(shared, ["d1", "d2"])
-    span = F.struct("start", "stop")
-    rows = marks.groupBy("doc_id").agg(F.collect_set(span).alias("s"), F.collect_set(F.when(F.col("owner") < F.col("doc_id"), span)).alias("r"), F.collect_set(F.when(F.col("owner") < F.col("doc_id"), F.col("owner"))).alias("owners"))
-    rows = rows.select("doc_id", _merge(F.col("s")).alias("spans"), _merge(F.col("r")).alias("removable"), F.sort_array("owners").alias("owners"))
-    n = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["start"])
-    return rows.select("doc_id", "spans", n.alias("n_bytes"), "removable", "owners")
-
-
-def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """docs with the removable spans of repeated passages taken out of text."""
-    found = repeated(docs, least).select(F.col("doc_id").alias("_id"), F.col("removable").alias("_spans"))
+    found = repeated(docs, least, passage).select(F.col("doc_id").alias("_id"), F.col("removable").alias("_spans"))
+    joined = packed(docs, "doc_id", "text").join(found, F.col("doc_id") == F.col("_id"), "left")
     raw = F.col("text").cast("binary")
     step = lambda acc, x: F.struct(F.concat(acc["out"], F.substring(raw, acc["at"] + 1, x["start"] - acc["at"])).alias("out"), x["stop"].alias("at"))
     rest = F.aggregate("_spans", F.struct(F.lit(b"").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring(raw, acc["at"] + 1, F.lit(2**31 - 1))))
-    joined = docs.join(found, F.col("doc_id") == F.col("_id"), "left")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.decode(rest, "utf-8"))
-    return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    text = F.when(F.col("_spans").isNull() | (F.octet_length("text") < F.try_element_at("_spans", F.lit(-1))["stop"]), F.col("text")).otherwise(rest.cast("string"))
+    return joined.select(*unpacked(docs, text=text))
