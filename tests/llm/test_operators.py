@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -74,7 +75,7 @@ def test_rules_order_does_not_change_the_verdict(docs):
 @pytest.mark.parametrize("which", ["docs", "odd"])
 def test_mixing(request, which):
     df = request.getfixturevalue(which)
-    rows = df.select("doc_id", "source", mixing.word_count().alias("size"))
+    rows = df.select("doc_id", "source", mixing.row_key().alias("key"), mixing.word_count().alias("size"))
     made = mixing.plan(rows, block_words=500, shard_words=3000)
     got = mixing.assign(rows, made).select("doc_id", "source", "size", "source_size", "target", F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"]).alias("taken")).collect()
     assert len(got) == df.count() and all(r.taken <= 2 * r.size for r in got)
@@ -102,7 +103,7 @@ def test_mixing(request, which):
 
 
 def test_more_than_eight_passes(spark):
-    rows = spark.createDataFrame([(i, f"s{i % 2}", 10 if i % 2 else 500) for i in range(40)], "doc_id long, source string, size long")
+    rows = spark.createDataFrame([(i, f"s{i % 2}", 10 if i % 2 else 500) for i in range(40)], "doc_id long, source string, size long").withColumn("key", F.xxhash64("doc_id"))
     made = mixing.plan(rows, weights=(1, 1), share=1.5, repeats=20, block_words=50)
     got = mixing.assign(rows, made).select("source", "target", F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"]).alias("taken")).collect()
     for name in ("s0", "s1"):
@@ -119,6 +120,24 @@ def test_mixture_rows(docs, odd, empty):
     assert "node" in mixing.mix(odd).columns and mixing.mix(odd).where("text is null").count() == 0
 
 
+def test_shards_are_shuffled(spark, docs, tmp_path):
+    mixed = mixing.mix(docs, block_words=500, shard_words=20000)
+    mixing.write_shards(mixed, str(tmp_path / "mix"))
+    back = spark.read.parquet(str(tmp_path / "mix"))
+    assert back.count() == mixed.count()
+    for folder in (tmp_path / "mix").glob("shard=*"):
+        files = sorted(folder.glob("*.parquet"))
+        places = [r.position for r in spark.read.parquet(str(files[0])).collect()]
+        assert len(files) == 1 and places == sorted(places)
+
+
+def test_deep_tree(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SPREAD", 2)
+    leaves = mixing.splitting_tree(spark.createDataFrame([(0, 900), (1, 70)], "_sid int, quota long"), 5).collect()
+    spans = sorted((r.first, r.last) for r in leaves if r._sid == 0)
+    assert len(spans) == 32 and spans[0][0] == 0 and spans[-1][1] == 900 and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
 def test_splitting_tree_is_exact_and_hypergeometric(spark):
     quotas = spark.createDataFrame([(0, 40), (1, 7), (2, 0), (3, 100)], "_sid int, quota long")
     leaves = mixing.splitting_tree(quotas, 3).collect()
@@ -141,6 +160,20 @@ def test_archives_round_trip(spark):
     assert warc.archive(pages.limit(0)).count() == 0
 
 
+def test_archives_of_rows_without_ids_and_ties(spark, tmp_path):
+    rows = [(None, "b", "same"), (None, "a", "same"), (None, None, "same"), (4, "z", "tie"), (4, "y", "tie"), (4, "y", "tie"), (None, "q", "alone"), (9, "w", "tie")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = f"file://{tmp_path}/w"
+    back = warc.read(warc.write(pages, path), path).collect()
+    assert sorted((str(r.page_id), str(r.url), r.record_type, str(r.refers_to)) for r in back) == sorted(
+        [("None", "a", "response", "None"), ("None", "b", "revisit", "None"), ("None", "None", "revisit", "None"), ("4", "y", "response", "None"), ("4", "y", "revisit", "4"), ("4", "z", "revisit", "4"), ("9", "w", "revisit", "4"), ("None", "q", "response", "None")]
+    )
+    heads = [warc.parse(raw)[0] for f in (tmp_path / "w").glob("*.zst") for raw in warc.read_archive(f.read_bytes())]
+    names = [h["WARC-Record-ID"] for h in heads]
+    assert len(set(names)) == len(rows) and all(h["WARC-Refers-To"] in names and h["WARC-Refers-To"] != h["WARC-Record-ID"] for h in heads if "WARC-Refers-To" in h)
+    assert warc.archive(pages.withColumn("page_id", F.col("page_id").cast("string"))).where("refers_to = '4'").count() == 3
+
+
 def test_archive_head_holds_the_dictionary(tmp_path):
     records = [f"WARC/1.1\r\nn: {i}\r\n\r\n<html>the same words again {i % 7}</html>".encode() for i in range(400)]
     with open(tmp_path / "a", "wb") as f:
@@ -160,12 +193,28 @@ def test_token_counts(request, which):
 
 def test_every_prefix(docs):
     counter, r = tokens.PrefixCounter(queries.tokenizer_path()), random.Random(1)
-    for text in [t for _, t in texts(docs)][:15] + ["it's <|endoftext|>foo ΟΔΟΣ\u0085b", "  x"]:
-        made = counter.table(text)
-        for end in r.sample(range(len(text) + 1), min(12, len(text))):
-            assert counter.prefix(text, end, made) == len(counter.tokenizer.encode(text[:end], add_special_tokens=False).ids)
-        cut = counter.truncate(text, 50)
-        assert counter.prefix(text, cut, made) <= 50
+    count = lambda t: len(counter.tokenizer.encode(t, add_special_tokens=False).ids)
+    for text in ["", "it's <|endoftext|>foo ΟΔΟΣ\u0085b", "  x\n\n y'll", *[t[a : a + 150] for _, t in texts(docs)[:25] if t for a in [r.randrange(max(1, len(t) - 150))]]]:
+        want = [count(text[:i]) for i in range(len(text) + 1)]
+        assert counter.table(text).tolist() == want
+        for budget in (0, 1, 5, 40):
+            longest = max(i for i, n in enumerate(want) if n <= budget)
+            assert counter.truncate(text, budget) == len(text[:longest].rstrip(tokens.BLANKS))
+
+
+def test_long_words_are_truncated_inside():
+    counter = tokens.PrefixCounter(queries.tokenizer_path())
+    count = lambda t: len(counter.tokenizer.encode(t, add_special_tokens=False).ids)
+    text = "before " + "日本語x1y" * 1500
+    end = counter.truncate(text, 300)
+    assert count(text[:end]) <= 300 < count(text[: end + 1]) and end > 100
+    assert not [w for w in counter.memo if len(w) > tokens.KEPT]
+
+
+def test_counts_of_all_prefixes_as_a_column(spark):
+    df = spark.createDataFrame([("a", "one two"), ("b", None)], "doc_id string, text string")
+    got = {r.doc_id: r for r in tokens.token_counts(df, queries.tokenizer_path(), limit=1, tables=True).collect()}
+    assert got["a"].prefix_tokens[-1] == got["a"].n_tokens and len(got["a"].prefix_tokens) == 8 and got["a"].chars_in_limit < 8 and list(got["b"].prefix_tokens) == [0]
 
 
 def test_language_identification(docs, odd, empty):
@@ -189,17 +238,62 @@ def test_secret_patterns():
     assert not secrets.novel_spans("the token is changeme_placeholder_value1 and so on", novelty, [])
 
 
+def plain_spans(text):
+    """The three patterns, kind by kind, as they are written."""
+    out = [(m.start(), 0, m.end(), "assign") for m in re.finditer("(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text, re.I | re.A) if len(m.group(2)) >= 6]
+    out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m.group()) >= 20]
+    out += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m.group()) >= 24]
+    return [f"{kind}:{a}:{b}" for a, _, b, kind in sorted(out)]
+
+
 def test_secret_scan_rows(docs, odd):
     got = {r.doc_id: r for r in queries.op5_secrets(docs.sparkSession, SF).collect()}
     for i, t in texts(docs):
-        base = secrets.base_spans(t)
-        assert got[i].base_sha256 == secrets.digest(base) and got[i].n_hex == sum(s[2] == "hex" for s in base)
+        base = plain_spans(t or "")
+        assert got[i].base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest() and got[i].n_hex == sum(s.startswith("hex") for s in base)
+        assert [s for s in got[i].spans.split(",") if s and not s.startswith("novel")] == base
     assert secrets.scan(odd).where("size(spans) > 0").isEmpty()
-    assert not any(secrets.base_spans(r.text or "") for r in secrets.redact(docs).collect() if "[SECRET]" in (r.text or ""))
+    assert not any(plain_spans(r.text or "") for r in secrets.redact(docs).collect() if "[SECRET]" in (r.text or ""))
+
+
+def test_patterns_on_hard_strings():
+    r = random.Random(8)
+    parts = ["token", "API_KEY", "apikey", "passwd", '"', "'", " ", ":", "=", "AKIA", "A1" * 8, "Z" * 15, "0af" * 8, "é", "f" * 23, "abcdef", "\n", "ſecret=abcdefg"]
+    for _ in range(3000):
+        text = "".join(r.choices(parts, k=r.randint(1, 14)))
+        assert [f"{k}:{a}:{b}" for a, b, k in secrets.ordered(secrets.base_spans(text))] == plain_spans(text), text
+
+
+@pytest.mark.parametrize("letters, size, least", [("ABCDEFabcdefghijkLMNOPxyz0123456789+/", 40, 0.95), ("abcdefghijklmnopqrstuvwxyz0123456789", 32, 0.9), ("0123456789ABCDEF", 32, 0.95), ("ABCDEFGHIJabcdefghij0123456789", 20, 0.9)])
+def test_planted_secrets_are_novel(docs, letters, size, least):
+    r, novelty, prose = random.Random(4), secrets.Novelty(), [t for _, t in texts(docs) if t]
+    found = 0
+    for i in range(120):
+        head = r.choice(prose)[:300] + r.choice([" the private key is ", " bearer credential is ", " api key: use ", " passphrase ", " signing key\n"])
+        text = head + "".join(r.choices(letters, k=size)) + " " + r.choice(prose)[:200]
+        found += (len(head), len(head) + size, "novel") in secrets.novel_spans(text, novelty, secrets.base_spans(text))
+    assert found >= least * 120
+    known = ["configuration_value_2024", "client_secret_example1", "my.application.settings.v2", "placeholder_token_0001", "production_database_password_3"]
+    assert not any(secrets.novel_spans(f"{t[:200]} the token is {w} {t[:200]}", novelty, []) for w in known for t in prose[:20])
+
+
+def test_identifiers_of_the_corpus(spark):
+    rows = [(i, f"call frobnicate_the_widget then openFileHandle {'once_only' if i else ''} x{i}_9a") for i in range(2)]
+    got = secrets.identifiers(spark.createDataFrame(rows, "doc_id long, text string")).decode().split()
+    assert {"frobnicate_the_widget", "openFileHandle"} <= set(got) and "once_only" not in got
+
+
+def plain_fingerprint(text, shingle):
+    """By the contract's words, bit by bit."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    if not words:
+        return 0
+    h = [xxhash.xxh64_intdigest(" ".join(words[i : i + shingle]).encode(), 42) for i in range(max(1, len(words) - shingle + 1))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
 def brute_components(rows, shingle, radius):
-    prints = [(i, int(simhash.fingerprint(simhash.shingle_hashes(t, shingle))[0])) for i, t in rows]
+    prints = [(i, plain_fingerprint(t, shingle)) for i, t in rows]
     parent = list(range(len(prints)))
 
     def root(x):
@@ -250,7 +344,7 @@ def test_near_copies_without_repeats_or_ids(spark):
     words = [f"w{i}" for i in range(300)]
     rows = [(1, " ".join(words)), (2, " ".join(words)), (3, " ".join(words[::-1])), (None, " ".join(words)), (None, " ".join(words)), (5, "alone"), (5, "alone"), (5, "other")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_gone", F.lit(7)).withColumn("heads", F.lit("x"))
-    for some, left in ((df.where("doc_id is null or doc_id < 5"), [1, 3, None, None]), (df, [1, 3, 5, None, None])):
+    for some, left in ((df.where("doc_id is null"), [None]), (df.where("doc_id is null or doc_id < 5"), [1, 3]), (df, [1, 3, 5, 5])):
         kept = simhash.drop_near_duplicates(some)
         assert kept.columns == df.columns
         assert sorted((r.doc_id for r in kept.collect()), key=lambda x: (x is None, x or 0)) == left
@@ -312,6 +406,41 @@ def test_repeats(spark, docs, odd):
     assert substrings.remove_repeats(odd).count() == odd.count()
 
 
+def common_lengths(rows):
+    """For each document the longest run of bytes that another one holds too, by a suffix array of all."""
+    joined = b"".join(t.encode() + b"\xff" for _, t in rows)
+    owner = [k for k, (_, t) in enumerate(rows) for _ in range(len(t.encode()) + 1)]
+    order = sorted(range(len(joined)), key=lambda i: joined[i : i + 2000])
+    out = [0] * len(rows)
+    for a, b in zip(order, order[1:], strict=False):
+        n = 0
+        while a + n < len(joined) and b + n < len(joined) and joined[a + n] == joined[b + n] != 0xFF:
+            n += 1
+        if owner[a] != owner[b]:
+            out[owner[a]], out[owner[b]] = max(out[owner[a]], n), max(out[owner[b]], n)
+    return dict(zip((i for i, _ in rows), out, strict=True))
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_repeats_against_a_suffix_array(spark, monkeypatch, hot):
+    if hot:
+        monkeypatch.setattr(substrings, "SAMPLED", 1)
+        monkeypatch.setattr(substrings, "HOT_COUNT", 2)
+    r = random.Random(6)
+    words = lambda n: " ".join("".join(r.choices("abcdefghé", k=r.randint(2, 9))) for _ in range(n))
+    passages = [words(n) for n in (5, 8, 30, 55, 55, 70, 120)]
+    rows = [(i, " ".join([words(r.randint(5, 60)), *r.sample(passages, r.choice((0, 0, 1, 2))), words(r.randint(5, 40))])) for i in range(60)]
+    rows += [(100, rows[3][1]), (101, words(3))]
+    longest = common_lengths(rows)
+    got = {x.doc_id: x for x in substrings.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i, n in longest.items() if n >= 250} <= set(got) and all(longest[i] >= 100 for i in got)
+    raw = {i: t.encode() for i, t in rows}
+    for i, x in got.items():
+        assert x.n_bytes == sum(s.stop - s.start for s in x.spans)
+        assert all(any(raw[i][s.start : s.start + 64] in raw[j] for j in raw if j != i) for s in x.spans)
+        assert all(any(raw[i][s.start : s.start + 64] in raw[j] for j in x.owners) and max(x.owners) < i for s in x.removable)
+
+
 def test_digests_do_not_depend_on_neighbours():
     d = substrings.Digests()
     a, b = b"some text " * 30, bytes(range(97, 120)) * 20
@@ -390,6 +519,63 @@ def test_quality_model(spark, docs, empty):
     assert quality_model.rate(docs, labels.limit(0)).where("kept").count() == docs.count()
 
 
+def test_quality_model_on_labels_it_has_not_seen(spark):
+    big = "/root/testdata/sf0.1"
+    labels = table(spark, big, "labels")
+    seen = labels.where("crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1")
+    rated = quality_model.rate(table(spark, big, "documents"), seen).join(labels.join(seen, "doc_id", "left_anti"), "doc_id").collect()
+    good = [r.kept for r in rated if r.quality == 1 and r.toxic == 0]
+    bad = [r.kept for r in rated if r.toxic == 1]
+    assert len(good) > 300 and len(bad) > 20 and np.mean(good) > 0.9 and np.mean(bad) < 0.15
+    assert np.mean([r.expected_grade for r in rated if r.toxic == 1]) < np.mean([r.expected_grade for r in rated if r.quality == 0 and r.toxic == 0]) < np.mean([r.expected_grade for r in rated if r.quality == 1 and r.toxic == 0])
+
+
+CLASH = "size target source_size copies key _row _sid _b _blocks _part draws n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept m _id _spans _key span owner last d1 d2 hot held_out _held _lang _share lang_pred score grade c v _picked count node fp head rows stays text_key _gone item_id cosine covered marks doc_id_ pass taken shard position n w".split()
+OPERATORS = {
+    "mix": lambda d, b, lab: mixing.mix(d),
+    "tokens": lambda d, b, lab: tokens.token_counts(d, queries.tokenizer_path()),
+    "identify": lambda d, b, lab: langid.identify(d),
+    "scan": lambda d, b, lab: secrets.scan(d),
+    "redact": lambda d, b, lab: secrets.redact(d),
+    "repeated": lambda d, b, lab: substrings.repeated(d),
+    "remove_repeats": lambda d, b, lab: substrings.remove_repeats(d),
+    "leaks": lambda d, b, lab: decontaminate.leaks(d, b),
+    "drop_leaking": lambda d, b, lab: decontaminate.drop_leaking(d, b),
+    "rate": lambda d, b, lab: quality_model.rate(d, lab),
+    "groups": lambda d, b, lab: simhash.groups(d),
+    "drop_near_duplicates": lambda d, b, lab: simhash.drop_near_duplicates(d),
+    "judge": lambda d, b, lab: rules.judge(d),
+    "keep": lambda d, b, lab: rules.keep(d),
+}
+A_ROW_EACH = {"tokens", "identify", "scan", "redact", "remove_repeats", "rate", "groups", "judge"}
+
+
+@pytest.fixture(scope="module")
+def clashing(spark, docs):
+    rows = spark.createDataFrame([(i if t is not None else None, t, None, None if i % 3 == 0 else f"s{i % 2}", 0) for i, t in enumerate(ODD)], "doc_id long, text string, lang string, source string, n_chars long")
+    some = docs.where("doc_id < 40").select("doc_id", "text", "lang", "source", "n_chars")
+    return rows.union(some).union(some.where("doc_id < 3")).withColumns({c: F.lit("mine") for c in CLASH}).persist()
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+@pytest.mark.parametrize("ids", ["long", "string"])
+def test_clashing_columns_and_ids(spark, clashing, name, ids):
+    df = clashing.withColumn("doc_id", F.col("doc_id").cast(ids))
+    bench = table(spark, SF, "benchmark").withColumn("item_id", F.col("item_id").cast(ids)).withColumn("doc_id", F.lit("mine"))
+    labels = table(spark, SF, "labels").withColumn("doc_id", F.col("doc_id").cast(ids)).withColumn("text", F.lit("mine"))
+    got = OPERATORS[name](df, bench, labels)
+    rows = got.collect()
+    if name in A_ROW_EACH:
+        assert len(rows) == df.count()
+    if name in ("redact", "remove_repeats", "drop_leaking", "drop_near_duplicates", "keep"):
+        assert got.columns == df.columns and all(r["_row"] == r["count"] == "mine" for r in rows)
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_empty_tables(spark, clashing, name):
+    assert OPERATORS[name](clashing.limit(0), table(spark, SF, "benchmark"), table(spark, SF, "labels")).count() == 0
+
+
 def test_word_hashes():
     h, owner, a, b = WordHashes()(["Ab c", None, "", " ab\n"])
     assert owner.tolist() == [0, 0, 3] and h[0] == h[2] != h[1] and (a[2], b[2]) == (1, 3)
@@ -405,3 +591,11 @@ def test_pipeline(spark, docs):
     assert out <= clean and len(out) > 0.6 * docs.count()
     final = corpus_pipeline.STAGES[-1][1](spark, kept, SF)
     assert {r.doc_id for r in final.select("doc_id").distinct().collect()} <= out
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, clashing):
+    for stage_name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, clashing, SF)
+        assert got.count() > 0, stage_name
+        assert set(clashing.columns) <= set(got.columns) if stage_name == "mixture" else got.columns == clashing.columns
+        assert stage(spark, clashing.limit(0), SF).count() == 0, stage_name
