@@ -18,6 +18,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 100_000
 _BASE = 0x9E3779B97F4A7C15  # any odd number has an inverse modulo 2^64
 _M64 = (1 << 64) - 1
+# fixed values: Thai, Lao, Burmese, Khmer, kana and Han
+_UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff])")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,7 +102,8 @@ class WordHashes:
             self.up, self.down = powers(_BASE, n), powers(pow(_BASE, -1, 1 << 64), n)
 
     def __init__(self, letters: bool = False) -> None:
-        """letters: words are runs of ASCII letters and digits and of all bytes beyond ASCII."""
+        """letters: words are runs of ASCII letters and digits and of all bytes beyond ASCII, and single characters of scripts written without blanks."""
+        self.letters = letters
         self.up = self.down = np.ones(1, np.uint64)
         self.between = np.zeros(256, bool)
         self.between[[9, 10, 11, 12, 13, 32]] = True
@@ -111,6 +114,9 @@ class WordHashes:
         """hash, index of the text, first byte and end byte (within the joined texts) of every word."""
         raw = [(t or "").encode() for t in texts]
         buf = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
+        if self.letters and len(buf) and buf.max() >= 0xE0:  # perhaps scripts without blanks: their characters are words
+            raw = [r if r.isascii() else _UNSPACED.sub(r" \1 ", t).encode() for r, t in zip(raw, texts, strict=True)]
+            buf = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
         self._powers(len(buf) + 1)
         white = self.between[buf]
         edge = np.diff(np.concatenate(([True], white, [True])).view(np.int8))

@@ -5,20 +5,22 @@
 2. A randomised singular value decomposition of all passages: each task sums A'(A omega) over its
    passages, partial sums are added in two rounds of shuffles, and the Nystrom formula turns the sum
    (buckets by RANK numbers) into singular vectors.
-3. Windows of two blocks are compared in the latent space with the benchmark's items, or windows of
-   them, by cosine. Candidates are windows of a high cosine that share some words with the item, windows
+3. Windows of two blocks are compared in the latent space with windows of the benchmark's items by
+   cosine. Candidates are windows of a high cosine that share some words with the item, windows
    that share OVERLAP of the item's weight whatever their cosine (found by the item's rarest words, one of
    which they must hold), and all windows around an item's answer.
 4. A candidate is a leak if the longest common subsequence of the item's words and the words around the
-   window covers SURE of the item, or covers LIKELY of it and the item's answer, its last words, stands
-   there in one piece: a paraphrase.
+   window covers SURE of the item, or covers LIKELY of it and ANSWER_PART of the item's answer, its last
+   words, in order: a paraphrase. By chance, less than half of an item is covered.
+5. Items of fewer than LEAST_WORDS words leak where all their words stand in one piece.
 
-Benchmark items are taken in blocks of ITEMS rows against all documents; vectors and items of a block
-are what is sent to tasks. Words are runs of letters and digits, in lower case for ASCII.
+All items are looked for in one pass over the documents. Words are runs of letters and digits, in lower
+case for ASCII, and single characters of scripts written without blanks.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import batched
 
@@ -36,10 +38,11 @@ RANK = 32
 COSINE = 0.5
 OVERLAP = 0.4  # of the item's weight: a candidate
 COMMON = 0.4  # of the item's words in a window of high cosine: a candidate
-SURE = 0.75
+SURE = 0.6
 LIKELY = 0.5
 ANSWER = 5
-ITEMS = 4096
+ANSWER_PART = 4  # words of the answer
+ITEMS = 1024  # items whose weights a task holds as a table at a time
 LEAST_WORDS = 6
 _PARTS = 16
 _CHUNK = 1 << 16
@@ -95,9 +98,9 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
                 hashes, owner, _, _ = words(batch.column("text").to_pylist())
                 starts = _blocks(owner)
                 n += len(starts)
-                block = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(owner))))
-                seen = np.unique(block * BUCKETS + _buckets(hashes)) % BUCKETS
-                total[:BUCKETS] += np.bincount(seen, minlength=BUCKETS)
+                kinds = np.sort(_padded(_buckets(hashes), starts).astype(np.int16).T, axis=1) if len(starts) else np.empty((0, BLOCK), np.int16)
+                new = np.concatenate((np.ones((len(kinds), 1), bool), kinds[:, 1:] != kinds[:, :-1]), axis=1) & (kinds < BUCKETS)
+                total[:BUCKETS] += np.bincount(kinds[new], minlength=BUCKETS)
         total[BUCKETS] = n
         if n:
             yield _emit(total, int(total.sum()) % 64)
@@ -185,11 +188,11 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
     return len(b) - v.bit_count()
 
 
-def _runs(hashes: np.ndarray) -> np.ndarray:
-    """A hash of the ANSWER words from each word on."""
-    n = len(hashes) - ANSWER + 1
+def _runs(hashes: np.ndarray, words: int = ANSWER) -> np.ndarray:
+    """A hash of so many words from each word on."""
+    n = len(hashes) - words + 1
     out = np.zeros(n, np.uint64)
-    for j in range(ANSWER):
+    for j in range(words):
         out = mix(out + hashes[j : j + n])
     return out
 
@@ -201,12 +204,15 @@ class Searcher:
         self.idf, self.space, self.words = idf, space, WordHashes(letters=True)
         hashes, owner, _, _ = self.words([t for _, t in items])
         self.items, vectors, self.of = [], [], []
+        self.short: dict[int, dict[int, list[tuple[int, list[int]]]]] = {}  # by number of words, then by their hash
         for i, (item, _) in enumerate(items):
             own = hashes[owner == i]
             if len(own) < LEAST_WORDS:
+                if len(own):
+                    self.short.setdefault(len(own), {}).setdefault(int(_runs(own, len(own))[0]), []).append((item, own.tolist()))
                 continue
-            for a in range(0, max(1, len(own) - BLOCK), BLOCK) if len(own) > 2.5 * BLOCK else (0,):
-                part = own[a : a + 2 * BLOCK] if len(own) > 2.5 * BLOCK else own
+            for a in range(0, max(1, len(own) - BLOCK), BLOCK):
+                part = own[a : a + 2 * BLOCK]
                 vectors.append((space[_buckets(part)] * idf[_buckets(part)][:, None]).sum(axis=0))
                 self.of.append(len(self.items))
             self.items.append((item, own.tolist()))
@@ -214,14 +220,11 @@ class Searcher:
         self.vectors /= np.maximum(1e-9, np.linalg.norm(self.vectors, axis=1, keepdims=True))
         self.weighted = _with_zero(space * idf[:, None])
         self.of = np.array(self.of, np.int64)
-        self.mass = np.zeros((len(self.items), BUCKETS + 1), np.float32)  # the weight of each bucket in each item
         self.least = np.zeros(len(self.items), np.float32)
-        self.has = np.zeros(self.mass.shape, np.uint8)
         self.fewest = np.zeros(len(self.items), np.float32)
         heads = []
         for i, (_, own) in enumerate(self.items):
             b = _buckets(np.array(own, np.uint64))
-            self.mass[i, b], self.has[i, b] = idf[b], 1
             self.least[i] = OVERLAP * idf[b].sum() * min(1, 2 * BLOCK / len(own))
             self.fewest[i] = COMMON * min(len(own), 2 * BLOCK)
             # without any of these the others, as often as in the item, do not reach the least
@@ -237,6 +240,15 @@ class Searcher:
             self.answers.setdefault(int(_runs(np.array(own[-ANSWER:], np.uint64))[0]), []).append(i)
         self.answer_keys = np.array(sorted(self.answers), np.uint64)
 
+    def _tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """The weight of each bucket in each item, and whether the item has it: made for a batch, as they are large."""
+        mass = np.zeros((len(self.items), BUCKETS + 1), np.float32)
+        has = np.zeros(mass.shape, np.uint8)
+        for i, (_, own) in enumerate(self.items):
+            b = _buckets(np.array(own, np.uint64))
+            mass[i, b], has[i, b] = self.idf[b], 1
+        return mass, has
+
     def _by_heads(self, padded: np.ndarray, joined: np.ndarray, n: int) -> np.ndarray:
         """Windows and items, as window * items + item, where one of the two blocks has one of the item's heads."""
         size = np.diff(self.head_ends)
@@ -254,9 +266,11 @@ class Searcher:
         """For each text: item -> (cosine, covered share, answer found, first and end word of the place)."""
         out: list[dict[int, tuple[float, float, bool, int, int]]] = [{} for _ in texts]
         hashes, owner, _, _ = self.words(texts)
+        self._find_short(out, hashes, owner)
         starts = _blocks(owner)
         if not len(starts) or not self.items:
             return out
+        mass, has = self._tables()
         marks = np.append(starts, len(owner))
         whose = owner[starts]
         ends = np.searchsorted(owner, np.arange(len(texts)), side="right")
@@ -284,10 +298,10 @@ class Searcher:
                 return total
 
             w, k = np.divmod(self._by_heads(padded, joined, len(z)), len(self.items))
-            likely = over(w, k, self.mass) >= self.least[k]
+            likely = over(w, k, mass) >= self.least[k]
             lw, lq = np.divmod(np.flatnonzero(near.ravel() >= COSINE), near.shape[1])
             lk = self.of[lq]
-            like = over(lw, lk, self.has) >= self.fewest[lk]
+            like = over(lw, lk, has) >= self.fewest[lk]
             w, k = np.divmod(np.union1d((w * len(self.items) + k)[likely], (lw * len(self.items) + lk)[like]), len(self.items))
             for w, k in zip(w.tolist(), k.tolist(), strict=True):
                 doc = int(whose[i + w])
@@ -306,6 +320,19 @@ class Searcher:
                     self._judge(out[doc], k, hashes, int(starts[w]), int(firsts[doc]), int(ends[doc]), float((vectors @ z).max() / max(1e-9, np.linalg.norm(z))))
         return out
 
+    def _find_short(self, out: list[dict[int, tuple[float, float, bool, int, int]]], hashes: np.ndarray, owner: np.ndarray) -> None:
+        for n, of_hash in self.short.items():
+            if len(hashes) < n:
+                continue
+            keys = np.array(sorted(of_hash), np.uint64)
+            for at in np.flatnonzero(np.isin(_runs(hashes, n), keys)).tolist():
+                doc = int(owner[at])
+                if owner[at + n - 1] == doc:
+                    first = at - int(np.searchsorted(owner, doc, side="left"))
+                    for item, own in of_hash[int(_runs(hashes[at : at + n], n)[0])]:
+                        if hashes[at : at + n].tolist() == own:
+                            out[doc].setdefault(item, (1.0, 1.0, True, first, first + n))
+
     def _judge(self, found: dict[int, tuple[float, float, bool, int, int]], k: int, hashes: np.ndarray, at: int, first: int, end: int, cosine: float) -> None:
         """Enter the item in found if the words around the window at `at`, of a text from first to end, leak it."""
         item, own = self.items[k]
@@ -318,55 +345,77 @@ class Searcher:
         if sum(x in there for x in own) < LIKELY * len(own):
             return
         share = common_subsequence(place, own) / len(own)
-        answer = own[-ANSWER:]
-        whole = share >= LIKELY and any(place[j : j + ANSWER] == answer for j in range(len(place) - ANSWER + 1))
+        whole = share >= LIKELY and common_subsequence(place, own[-ANSWER:]) >= ANSWER_PART
         if (share >= SURE or whole) and (best is None or share > best[1]):
             found[item] = (cosine, share, whole, low - first, high - first)
 
 
-def _searchers(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> Iterator[Searcher]:
+_READY: dict[str, list[Searcher]] = {}  # of the worker's last broadcast
+
+
+def _searchers(told) -> list[Searcher]:  # noqa: ANN001
+    name, blocks, idf, space = told.value
+    if name not in _READY:
+        _READY.clear()
+        _READY[name] = [Searcher(b, idf, space) for b in blocks]
+    return _READY[name]
+
+
+def _find_all(searchers: list[Searcher], texts: list[str | None]) -> list[dict[int, tuple[float, float, bool, int, int]]]:
+    out: list[dict[int, tuple[float, float, bool, int, int]]] = [{} for _ in texts]
+    for s in searchers:
+        for one, more in zip(out, s.find(texts), strict=True):
+            for item, found in more.items():
+                if item not in one or found[1] > one[item][1]:
+                    one[item] = found
+    return out
+
+
+def _prepare(docs: DataFrame, benchmark: DataFrame):  # noqa: ANN202
+    """A broadcast of the items, in blocks, the frequencies and the singular vectors; None where there are no items. The driver holds the benchmark's texts."""
+    rows = [(r[0], r[1]) for r in benchmark.where("text is not null and item_id is not null").select("item_id", "text").distinct().toLocalIterator()]
+    if not rows:
+        return None
     idf = inverse_frequencies(docs)
     space = latent_space(docs, idf)
-    rows = benchmark.where("text is not null and item_id is not null").select("item_id", text).distinct().toLocalIterator()
-    for some in batched(((r[0], r[1]) for r in rows), ITEMS):
-        yield Searcher(list(some), idf, space)
+    return docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, list(map(list, batched(sorted(rows), ITEMS))), idf, space))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, cosine, covered, answer, first_word, end_word: a row for each item that a row of docs leaks.
 
-    Null and empty texts leak nothing; items of fewer than LEAST_WORDS words cannot be found. Repeated
-    rows are searched each. Empty tables give no row. Extra columns are not read.
+    Null and empty texts leak nothing; an item without words, or with a null id, leaks nowhere. Repeated rows are searched
+    each, repeated items once; items that share an id are one, and the one covered best tells the place (of ties the first
+    found). Ids may be of any type. Empty tables give no row. Extra columns are not read.
     """
     docs = docs.select("doc_id", "text")
-    kinds = "doc_id long, item_id long, cosine double, covered double, answer boolean, first_word long, end_word long"
-    out = None
-    for searcher in _searchers(docs, benchmark):
+    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, cosine double, covered double, answer boolean, first_word long, end_word long"
+    told = _prepare(docs, benchmark)
+    if told is None:
+        return docs.sparkSession.createDataFrame([], kinds)
 
-        def run(batches: Iterator[pa.RecordBatch], s: Searcher = searcher) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for batch in slices(whole, "text"):
-                    rows = [(doc, item, *found) for doc, got in zip(batch.column("doc_id").to_pylist(), s.find(batch.column("text").to_pylist()), strict=True) for item, found in got.items()]
-                    if rows:
-                        names = ["doc_id", "item_id", "cosine", "covered", "answer", "first_word", "end_word"]
-                        yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "item_id", "cosine", "covered", "answer", "first_word", "end_word"]
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                rows = [(doc, item, *found) for doc, got in zip(batch.column("doc_id").to_pylist(), _find_all(_searchers(told), batch.column("text").to_pylist()), strict=True) for item, found in got.items()]
+                if rows:
+                    ids = [pa.array([r[0] for r in rows], batch.column("doc_id").type), pa.array([r[1] for r in rows])]
+                    yield pa.RecordBatch.from_arrays(ids + [pa.array([r[i] for r in rows]) for i in range(2, 7)], names=names)
 
-        found = docs.mapInArrow(run, kinds)
-        out = found if out is None else out.union(found)
-    return docs.sparkSession.createDataFrame([], kinds) if out is None else out
+    return docs.mapInArrow(run, kinds)
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs whose text leaks no item of the benchmark."""
+    """The rows of docs whose text leaks no item of the benchmark. Extra columns stay, whatever their names; null texts stay."""
     at = docs.columns.index("text")
-    out = docs
-    for searcher in _searchers(docs.select("text"), benchmark):
+    told = _prepare(docs.select("text"), benchmark)
+    if told is None:
+        return docs
 
-        def run(batches: Iterator[pa.RecordBatch], s: Searcher = searcher) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for batch in slices(whole, "text"):
-                    clean = [not got for got in s.find(batch.column(at).to_pylist())]
-                    yield batch.filter(pa.array(clean))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                yield batch.filter(pa.array([not got for got in _find_all(_searchers(told), batch.column(at).to_pylist())], pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+    return docs.mapInArrow(run, docs.schema)

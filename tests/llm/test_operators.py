@@ -453,7 +453,7 @@ def test_digests_do_not_depend_on_neighbours():
 @pytest.fixture(scope="module")
 def searcher(spark, docs):
     bench = table(spark, SF, "benchmark")
-    return next(iter(decontaminate._searchers(docs, bench))), [(b.item_id, b.text) for b in bench.collect()]
+    return decontaminate._searchers(decontaminate._prepare(docs, bench))[0], [(b.item_id, b.text) for b in bench.collect()]
 
 
 def test_decontamination(spark, docs):
@@ -467,7 +467,7 @@ def test_decontamination(spark, docs):
     assert decontaminate.leaks(df, bench.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("kind, share, tail", [("replace", 0, 0), ("replace", 0.2, 0), ("delete", 0.2, 0), ("insert", 0.2, 0), ("replace", 0.35, 5), ("replace", 0.45, 5), ("delete", 0.35, 5)])
+@pytest.mark.parametrize("kind, share, tail", [("replace", 0, 0), ("replace", 0.2, 0), ("delete", 0.2, 0), ("insert", 0.2, 0), ("replace", 0.3, 0), ("replace", 0.35, 5), ("replace", 0.4, 5), ("delete", 0.35, 5)])
 def test_planted_paraphrases(searcher, docs, kind, share, tail):
     r, s, items = random.Random(9), *searcher
     fill = [w for _, t in texts(docs) if t for w in t.split()]
@@ -481,9 +481,27 @@ def test_planted_paraphrases(searcher, docs, kind, share, tail):
         rows.append(" ".join([*fill[at : at + r.randrange(20, 200)], *made, *fill[at + 200 : at + 300]]))
         a, b = ([h for h in s.words([t])[0].tolist()] for t in (" ".join(made), text))
         covered = decontaminate.common_subsequence(a, b) / len(b)
-        want.append((item, covered >= 0.75 or covered >= 0.5 and any(a[j : j + 5] == b[-5:] for j in range(len(a) - 4))))
-    found = [item in f for (item, ok), f in zip(want, s.find(rows), strict=True) if ok]
-    assert len(found) > len(items) and np.mean(found) > 0.99
+        want.append((item, covered >= 0.6 or covered >= 0.5 and decontaminate.common_subsequence(a, b[-5:]) >= 4))
+    got = s.find(rows)
+    found = [item in f for (item, ok), f in zip(want, got, strict=True) if ok]
+    assert len(found) > len(items) and np.mean(found) > 0.98
+    assert np.mean([item in f for (item, _), f in zip(want, got, strict=True)]) >= 0.9  # whatever the rule says of them
+
+
+def test_short_and_unspaced_items(spark, docs):
+    items = [(1, "quartz vixen"), (2, "Zephyr"), (3, "日本語の文章を探す"), (4, "kept apart here now"), (5, " ... ")]
+    rows = [(10, "a quartz, vixen b"), (11, "vixen quartz"), (12, "the zephyr"), (13, "前の文。日本語の文章を探す。次の文"), (14, "kept apart there now"), (15, "kept-apart here; now")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame(rows, "doc_id long, text string").union(docs.select("doc_id", "text"))
+    got = {(r.doc_id, r.item_id): (r.first_word, r.end_word) for r in decontaminate.leaks(df, bench).collect()}
+    assert set(got) == {(10, 1), (12, 2), (13, 3), (15, 4)} and got[10, 1] == (1, 3)
+
+
+def test_many_blocks_of_items(spark, docs, monkeypatch):
+    bench = table(spark, SF, "benchmark")
+    whole = sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect())
+    monkeypatch.setattr(decontaminate, "ITEMS", 7)
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()) == whole
 
 
 def test_common_subsequence():
