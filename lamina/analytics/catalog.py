@@ -7,6 +7,8 @@ import inspect
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lamina.sources.shared import cut
+
 
 def functions_catalog(spark: SparkSession) -> DataFrame:
     """name, module, parameters of this library's lane functions."""
@@ -28,11 +30,11 @@ def select_candidates(candidates: DataFrame, groups: list[str], distance: str, s
 
 def resolvable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes whose dependencies, and theirs, are all there: unresolved ones are pruned until none is left. edges: name, needs."""
-    left = nodes.select("name").distinct()
+    left = cut(nodes.select("name").distinct(), "resolvable")
     n = left.count()
     while True:
         bad = edges.join(left.select(F.col("name").alias("needs")), "needs", "left_anti").select("name").distinct()
-        left = left.join(bad, "name", "left_anti")
+        left = cut(left.join(bad, "name", "left_anti"), "resolvable")
         m = left.count()
         if m == n:
             return left
@@ -41,13 +43,13 @@ def resolvable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def ancestors(edges: DataFrame) -> DataFrame:
     """name, ancestor, distance along `name, parent` edges; shortest distances."""
-    edges.createOrReplaceTempView("_lamina_edges")
     return edges.sparkSession.sql(
         """with recursive chain(name, ancestor, distance) as (
-             select name, parent, 1 from _lamina_edges
+             select name, parent, 1 from {edges}
              union all
-             select c.name, e.parent, c.distance + 1 from chain c join _lamina_edges e on c.ancestor = e.name)
-           select name, ancestor, min(distance) as distance from chain group by name, ancestor"""
+             select c.name, e.parent, c.distance + 1 from chain c join {edges} e on c.ancestor = e.name)
+           select name, ancestor, min(distance) as distance from chain group by name, ancestor""",
+        edges=edges,
     )
 
 

@@ -6,8 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+AXIS_ROWS = 10_000
+
+
 def scenario_matrix(axes: list[DataFrame], keys: list[str]) -> DataFrame:
     """The product of small axis tables, a row an id (the keys' hash), without repeats. Its size is the product of the axes' sizes."""
+    if any(axis.limit(AXIS_ROWS + 1).count() > AXIS_ROWS for axis in axes):
+        raise ValueError(f"an axis has more than {AXIS_ROWS} values")
     out = axes[0]
     for axis in axes[1:]:
         out = out.join(F.broadcast(axis), F.lit(True))

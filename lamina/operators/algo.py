@@ -154,10 +154,9 @@ def aggregate(df: DataFrame, fold: Op, inputs: str | Sequence[str], mask: str |
 
 # sinks
 def consume(df: DataFrame, op: Callable[[Any], None], inputs: str | Sequence[str], mask: str | None = None, ids: DataFrame | None = None, pos: str = "pos") -> None:
-    """op gets each partition's rows of the input columns, for its effects; under a mask, the active rows."""
+    """op gets each partition's rows of the input columns, for its effects; under a mask, all rows with their mask first."""
     rows = df if ids is None else selected(df, ids, pos)
-    rows = rows if mask is None else rows.where(F.col(mask))
-    rows.select(*_columns(inputs)).foreachPartition(op)
+    rows.select(*([] if mask is None else [F.col(mask)]), *_columns(inputs)).foreachPartition(op)
 
 
 def for_each_chunk(df: DataFrame, op: Callable[[Any], Any], schema: str, inputs: str | Sequence[str]) -> DataFrame:

@@ -1,8 +1,9 @@
 """Multi-column sort, permutations, runs of equal values, distinct frequencies.
 
-Ordering is by range partitions sorted locally (`orderBy`). Ordinals of a sorted table are found from
-counts per key, not from a window over everything: a run's begin is the sum of the counts of smaller keys,
-and that running sum is taken over key ranges in two passes.
+Ordering is by range partitions sorted locally (`orderBy`). Ordinals of a sorted table come from one range
+sort: a row's place within its range, which the sort itself gives, and the sizes of the ranges before it. The
+sorted rows are written once, so both are of the same ranges. The row's own ordinal is the last key: rows of one
+value may lie in many ranges, and no task holds more than its share.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 256
+from lamina.sources.shared import cut
 
 
 def _order(columns: list[str], descending: list[bool] | None) -> list[Column]:
@@ -37,27 +38,35 @@ def sample_sort(df: DataFrame, columns: list[str], partitions: int | None = None
     return split.sortWithinPartitions(*columns)
 
 
+def ranked(df: DataFrame, order: list[Column], out: str = "ord") -> DataFrame:
+    """df with each row's place in the order, from 0. One shuffle; the window is over a row a range."""
+    spark = df.sparkSession
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    sorted_ = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    placed = cut(sorted_.withColumn("_r", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "ranked")
+    sizes = placed.groupBy("_r").agg(F.count("*").alias("_m"))
+    ahead = sizes.select("_r", F.coalesce(F.sum("_m").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
+    return placed.join(F.broadcast(ahead), "_r").withColumn(out, F.col("_ahead") + F.col("_i")).drop("_r", "_i", "_ahead")
+
+
 def run_begins(df: DataFrame, columns: list[str], descending: list[bool] | None = None) -> DataFrame:
-    """columns, begin, end of every group of equal rows as it lies in the sorted table."""
-    counts = df.groupBy(*columns).agg(F.count("*").alias("_n"))
+    """columns, begin, end of every group of equal rows as it lies in the sorted table: from frequencies, whose range sort gives the sums of smaller keys."""
     order = _order(columns, descending)
-    ranged = counts.repartitionByRange(RANGES, *order).withColumn("_r", F.spark_partition_id())
-    ahead = ranged.groupBy("_r").agg(F.sum("_n").alias("_m"))
-    ahead = ahead.select("_r", F.coalesce(F.sum("_m").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
-    within = F.coalesce(F.sum("_n").over(Window.partitionBy("_r").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = ranged.withColumn("_within", within).join(ahead, "_r").withColumn("begin", F.col("_ahead") + F.col("_within"))
+    spark = df.sparkSession
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    counts = df.groupBy(*columns).agg(F.count("*").alias("_n"))
+    ranged = cut(counts.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("_r", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()), "ranges")
+    sizes = ranged.groupBy("_r").agg(F.sum("_n").alias("_m"))
+    ahead = sizes.select("_r", F.coalesce(F.sum("_m").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
+    within = F.coalesce(F.sum("_n").over(Window.partitionBy("_r").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = ranged.withColumn("_within", within).join(F.broadcast(ahead), "_r").withColumn("begin", F.col("_ahead") + F.col("_within"))
     return out.select(*columns, "begin", (F.col("begin") + F.col("_n")).alias("end"))
 
 
 def sort_index(df: DataFrame, columns: list[str], descending: list[bool] | None = None, pos: str = "pos") -> DataFrame:
     """ord, row_id: the permutation that sorts; ties by pos."""
-    begins = run_begins(df, columns, descending).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(columns)], "begin")
-    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(columns)]
-    test = same[0]
-    for s in same[1:]:
-        test = test & s
-    rank = F.row_number().over(Window.partitionBy("begin").orderBy(pos)) - 1
-    return df.join(begins, test).select((F.col("begin") + rank).alias("ord"), F.col(pos).alias("row_id"))
+    slim = df.select(*dict.fromkeys([*columns, pos]))
+    return ranked(slim, [*_order(columns, descending), F.col(pos).asc()]).select("ord", F.col(pos).alias("row_id"))
 
 
 sort_index_parallel = sort_index
@@ -104,6 +113,26 @@ def equal_runs(df: DataFrame, column: str, pos: str = "pos", block: int = 1 << 1
     return inner.select("begin", "end").union(joined.select("begin", "end")).where("end - begin > 1")
 
 
+def equal_runs_delta(df: DataFrame, column: str, pos: str = "pos") -> DataFrame:
+    """The same runs from differences: rows unlike the one before begin a run, rows unlike the next end one; the k-th begin and the k-th end belong together.
+
+    Neighbours meet by a join on the ordinal, and begins and ends by their place in order.
+    """
+    rows = df.select(F.col(pos).alias("_p"), F.struct(F.col(column)).alias("_v"))
+    next_ = rows.select((F.col("_p") - 1).alias("_q"), F.col("_v").alias("_w"))
+    edges = rows.join(next_, F.col("_p") == F.col("_q"), "full").where(~F.col("_v").eqNullSafe(F.col("_w")))
+    ends = ranked(edges.where("_v is not null").select((F.col("_p") + 1).alias("end")), [F.col("end").asc()], "k")
+    begins = ranked(edges.where("_w is not null").select((F.col("_q") + 1).alias("begin")), [F.col("begin").asc()], "k")
+    return begins.join(ends, "k").where("end - begin > 1").select("begin", "end")
+
+
+def equal_runs_scan(df: DataFrame, column: str, pos: str = "pos") -> DataFrame:
+    """The same runs by a scan for each value: a value's rows whose ordinals rise in step are one run. A task takes all rows of a value."""
+    w = Window.partitionBy(column).orderBy(pos)
+    rows = df.select(column, F.col(pos).alias("_p"), (F.col(pos) - F.row_number().over(w)).alias("_g"))
+    return rows.groupBy(column, "_g").agg(F.min("_p").alias("begin"), (F.max("_p") + 1).alias("end")).where("end - begin > 1").select("begin", "end")
+
+
 def sorted_runs(df: DataFrame, columns: list[str], descending: list[bool] | None = None) -> DataFrame:
     """begin, end of the runs that the sorted table has: from frequencies, without sorting rows."""
     return run_begins(df, columns, descending).where("end - begin > 1").select("begin", "end")
@@ -123,8 +152,7 @@ def scan_gt(df: DataFrame, column: str, bound: object) -> DataFrame:
 
 def dense_codes(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
     """df with order-preserving codes from 0, nulls first: ranks of the distinct values, joined back."""
-    values = df.select(F.col(column).alias("_v")).distinct()
-    codes = values.select("_v", (F.row_number().over(Window.orderBy(F.col("_v").asc_nulls_first())) - 1).cast("bigint").alias(out or f"{column}_code"))
+    codes = ranked(df.select(F.col(column).alias("_v")).distinct(), [F.col("_v").asc_nulls_first()], out or f"{column}_code")
     return df.join(codes, F.col(column).eqNullSafe(F.col("_v"))).drop("_v")
 
 
