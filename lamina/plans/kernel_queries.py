@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import lamina.functions as fn
 from lamina.analytics import catalog, datasets, measurements
-from lamina.operators import algo, sorting
+from lamina.operators import algo, positional, sorting
 from lamina.sources.tables import sample_rows, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,11 +32,13 @@ _EV = "(select event_id as pos, value as a, (user_id % 100)::double as b, event_
 
 
 def _ids(spark: SparkSession, sf: str) -> DataFrame:
-    """A stream of row ids with repeats, out of order."""
-    return table(spark, sf, "events").where("event_id % 2 = 0").select(F.col("event_id").alias("ord"), F.pmod(F.col("event_id") * 37, F.lit(900)).alias("row_id"))
+    """A stream of row ids with repeats, out of order, one for each event, over the whole table."""
+    events = table(spark, sf, "events")
+    e = F.col("event_id")
+    return events.select(e.alias("ord"), F.pmod((e - e % 3) * 37, F.lit(max(1, events.count()))).alias("row_id"))
 
 
-_ST = f"(select i.ord, i.row_id, e.* from (select event_id as ord, event_id * 37 % 900 as row_id from events where event_id % 2 = 0) i join {_EV} e on e.pos = i.row_id)"
+_ST = f"(select i.ord, i.row_id, e.* from (select event_id as ord, (event_id - event_id % 3) * 37 % (select count(*) from events) as row_id from events) i join {_EV} e on e.pos = i.row_id)"
 _one: Callable[[Column], Column] = lambda a: fn.greater_than(a, F.lit(50.0), "f64")
 _two: Callable[[Column, Column], Column] = lambda a, b: fn.less_than(a, b, "f64")
 _FORMS = {"unary": ("a", _one, "a > 50"), "binary": (["a", "b"], _two, "a < b")}
@@ -69,7 +71,8 @@ def _consumed(spark: SparkSession, sf: str, form: str, **how: object) -> DataFra
     n = spark.sparkContext.accumulator(0)
     if how.pop("stream", False):
         how["ids"] = _ids(spark, sf)
-    algo.consume(_events(spark, sf), lambda rows: n.add(sum(1 for _ in rows)), _FORMS[form][0], **how)
+    masked = "mask" in how
+    algo.consume(_events(spark, sf), lambda rows: n.add(sum(1 for r in rows if not masked or r[0])), _FORMS[form][0], **how)
     return spark.range(1).select(F.lit(n.value).cast("bigint").alias("n"))
 
 
@@ -107,20 +110,71 @@ def q1(spark: SparkSession, sf: str) -> DataFrame:
 _Q1 = f"select coalesce(sum(c), 0)::bigint as total from {_LI} where a < 4 and b > 100"
 add("q1_filter_sum", q1, _Q1)
 add("q1_scalar_control", q1, _Q1)
-for _scope in ("batch", "full"):
-    for _layout in ("native", "integral", "bit"):
-        add(f"q2_{_scope}_{_layout}_mask", lambda s, d: _lineitem(s, d).withColumn("m", (F.col("a") < 4) & (F.col("b") > 100)).agg(F.coalesce(F.sum(F.when(F.col("m"), F.col("c"))), F.lit(0)).alias("total")), _Q1)
+BATCH = 64  # rows a batch
+
+
+def _pair(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders by ordinal: a, b and c of the two filters and the sum."""
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("pos"), (F.col("o_custkey") % 7).alias("a"), (F.col("o_orderkey") % 5).alias("b"), F.col("o_totalprice").cast("int").alias("c"))
+
+
+_PAIR = "select coalesce(sum(trunc(o_totalprice)::integer), 0)::bigint as total from orders where o_custkey % 7 < 4 and o_orderkey % 5 > 0"
+_both = lambda a, b: (a < 4) & (b > 0)
+_sum = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias("total")
+
 
+def _full_mask(spark: SparkSession, sf: str, layout: str) -> DataFrame:
+    """The whole mask is made first, in its layout, and then consumed beside the column."""
+    rows = algo.predicate(_pair(spark, sf), _both, ["a", "b"])
+    if layout == "native":
+        return rows.agg(_sum(F.when(F.col("m"), F.col("c"))))
+    if layout == "integral":  # a word a register of 16 lanes, tested lane by lane
+        words = algo.pack_mask(rows, lanes=16)
+        lane = F.pmod(F.col("pos"), F.lit(16)).cast("int")
+        return rows.withColumn("chunk", F.floor(F.col("pos") / 16)).join(words, "chunk").agg(_sum(F.when(F.getbit("word", lane) == 1, F.col("c"))))
+    on = algo.unpack_mask(algo.pack_mask(rows, lanes=64), 64).where("m").select(F.col("pos").alias("_p"))
+    return rows.join(on, F.col("pos") == F.col("_p")).agg(_sum(F.col("c")))
 
-def _positions(spark: SparkSession, sf: str, scope: str) -> DataFrame:
-    """Row ids of the matches over orders (pos = o_orderkey), then a gather and sum."""
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("pos"), (F.col("o_custkey") % 7).alias("a"), F.col("o_totalprice").cast("int").alias("c"))
+
+def _batch_mask(spark: SparkSession, sf: str, layout: str) -> DataFrame:
+    """A batch of rows at a time: its mask, then the sum over its lanes."""
+    batch = positional.registers(algo.predicate(_pair(spark, sf), _both, ["a", "b"]), ["m", "c"], BATCH)
+    bits = F.aggregate(F.transform("m", lambda m, i: F.when(m, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda x, y: x.bitwiseOR(y))
+    if layout == "native":
+        mask = F.col("m")
+    elif layout == "integral":  # a word for each eight lanes
+        batch = batch.withColumn("words", F.transform(F.sequence(F.lit(0), F.ceil(F.size("m") / 8).cast("int") - 1), lambda k: F.slice("m", k * 8 + 1, F.lit(8))))
+        mask = F.flatten("words")
+    else:
+        batch = batch.withColumn("word", bits)
+        mask = F.transform(F.sequence(F.lit(0), F.size("m") - 1), lambda i: F.getbit(F.col("word"), i) == 1)
+    lanes = F.zip_with(mask, F.col("c"), lambda m, c: F.when(m, c).otherwise(0).cast("bigint"))
+    return batch.select(F.aggregate(lanes, F.lit(0).cast("bigint"), lambda x, y: x + y).alias("n")).agg(_sum(F.col("n")))
+
+
+for _layout in ("native", "integral", "bit"):
+    add(f"q2_full_{_layout}_mask", lambda s, d, x=_layout: _full_mask(s, d, x), _PAIR)
+    add(f"q2_batch_{_layout}_mask", lambda s, d, x=_layout: _batch_mask(s, d, x), _PAIR)
+
+
+def _full_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """Row ids of all matches, then a gather and sum."""
+    o = _pair(spark, sf)
     ids = algo.as_stream(algo.select_indices(o, lambda a: a < 3, "a"))
-    return algo.selected(o, ids).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"), F.count("*").alias("produced"))
+    return algo.selected(o, ids).agg(_sum(F.col("c")), F.count("*").alias("produced"))
+
 
+def _batch_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """The same a batch of rows at a time: its list of positions, and a gather from its lanes."""
+    batch = positional.registers(_pair(spark, sf), ["a", "c"], BATCH)
+    at = F.filter(F.sequence(F.lit(0), F.size("a") - 1), lambda i: F.get("a", i) < 3)
+    batch = batch.select("c", at.alias("at"))
+    total = F.aggregate("at", F.lit(0).cast("bigint"), lambda x, i: x + F.get("c", i))
+    return batch.select(total.alias("n"), F.size("at").alias("k")).agg(_sum(F.col("n")), F.coalesce(F.sum("k"), F.lit(0)).alias("produced"))
 
-for _scope in ("batch", "full"):
-    add(f"q3_{_scope}_positions", lambda s, d, x=_scope: _positions(s, d, x), "select coalesce(sum(trunc(o_totalprice)::integer), 0)::bigint as total, count(*) as produced from orders where o_custkey % 7 < 3")
+
+for _scope, _query in (("batch", _batch_positions), ("full", _full_positions)):
+    add(f"q3_{_scope}_positions", _query, "select coalesce(sum(trunc(o_totalprice)::integer), 0)::bigint as total, count(*) as produced from orders where o_custkey % 7 < 3")
 
 SALTS = (0, 1, 3, 7, 15, 31, 63, 127)  # fixed values
 for _k in (1, 4, 8):
@@ -131,7 +185,15 @@ for _k in (1, 4, 8):
         return _lineitem(spark, sf).where("a < 5").agg(F.count("*").alias("after_a"), F.count_if(second).alias("after_b"), *sums)
 
     add(f"q6_filter_filter_{_k}_sums", _q6, "select count(*) as after_a, count_if(b < 1000)::bigint as after_b, " + ", ".join(f"coalesce(sum(xor(c, {x})) filter (b < 1000), 0)::bigint as s{i}" for i, x in enumerate(SALTS[:_k])) + f" from {_LI} where a < 5")
-    add(f"q7_masked_{_k}_sums", lambda s, d, k=_k: _q6(s, d, k), ORACLE_SQL[f"q6_filter_filter_{_k}_sums"])
+
+    def _q7(spark: SparkSession, sf: str, k: int = _k) -> DataFrame:
+        """A mask a filter, each made from the one before; the sums consume the last."""
+        rows = algo.predicate(_lineitem(spark, sf), lambda a: a < 5, "a", "m1")
+        rows = algo.predicate(rows, lambda m, b: m & (b < 1000), ["m1", "b"], "m2")
+        sums = [F.coalesce(F.sum(F.when(F.col("m2"), F.col("c").bitwiseXOR(F.lit(x)))), F.lit(0)).cast("bigint").alias(f"s{i}") for i, x in enumerate(SALTS[:k])]
+        return rows.agg(F.count_if("m1").alias("after_a"), F.count_if("m2").alias("after_b"), *sums)
+
+    add(f"q7_masked_{_k}_sums", _q7, ORACLE_SQL[f"q6_filter_filter_{_k}_sums"])
 
 # ---- sorting and runs
 _S = ["o_orderstatus", "o_custkey"]
@@ -154,13 +216,14 @@ add("s11_sort_register", lambda s, d: table(s, d, "embeddings").select("vec_id",
 add("s13_partition_step", lambda s, d: _orders(s, d).select("pos", sorting.partition_side(F.col("o_custkey"), sorting.median_of_three(F.lit(100), F.lit(700), F.lit(300))).alias("side")), f"select pos, sign(o_custkey - 300)::integer as side from {_ORD}")
 
 
-def _runs_of(spark: SparkSession, sf: str) -> DataFrame:
-    return sorting.equal_runs(table(spark, sf, "events").select(F.col("event_id").alias("pos"), F.floor(F.col("event_id") / (F.pmod(F.floor(F.col("event_id") / 50), F.lit(5)) + 1)).alias("v")), "v", block=128)
+def _run_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select(F.col("event_id").alias("pos"), F.floor(F.col("event_id") / (F.pmod(F.floor(F.col("event_id") / 50), F.lit(5)) + 1)).alias("v"))
 
 
 _RUNS = 'with e as (select event_id as pos, event_id // (event_id // 50 % 5 + 1) as v from events), b as (select pos, coalesce(v <> lag(v) over (order by pos), true) as nb from e), g as (select pos, sum(nb::int) over (order by pos) as g from b) select min(pos) as begin, max(pos) + 1 as "end" from g group by g having count(*) > 1'
-for _n in ("s14_equal_runs", "s15_equal_runs_delta", "s16_equal_runs_scan"):
-    add(_n, _runs_of, _RUNS)
+add("s14_equal_runs", lambda s, d: sorting.equal_runs(_run_rows(s, d), "v", block=128), _RUNS)
+add("s15_equal_runs_delta", lambda s, d: sorting.equal_runs_delta(_run_rows(s, d), "v"), _RUNS)
+add("s16_equal_runs_scan", lambda s, d: sorting.equal_runs_scan(_run_rows(s, d), "v"), _RUNS)
 add("s17_runs_from_frequencies", lambda s, d: sorting.sorted_runs(_orders(s, d), _S), 'select begin, "end" from (select (sum(n) over w - n)::bigint as begin, (sum(n) over w)::bigint as "end", n from (select o_orderstatus, o_custkey, count(*) as n from orders group by 1, 2) window w as (order by o_orderstatus, o_custkey)) where n > 1')
 add("s18_distinct_frequencies", lambda s, d: sorting.distinct_frequencies(_orders(s, d), "o_custkey"), "select o_custkey as value, count(*) as n from orders group by 1")
 add("s19_scan_lt_gt", lambda s, d: sorting.scan_lt(_orders(s, d), "o_custkey", 100).union(sorting.scan_gt(_orders(s, d), "o_custkey", 1000)).select("pos", "o_custkey"), f"select pos, o_custkey from {_ORD} where o_custkey < 100 or o_custkey > 1000")
@@ -178,6 +241,42 @@ def _keys(spark: SparkSession, sf: str) -> DataFrame:
 _KEYS = "lineitem, part, orders, customer where l_partkey = p_partkey and l_orderkey = o_orderkey and o_custkey = c_custkey"
 add("j1_key_columns", lambda s, d: _keys(s, d).groupBy("p_brand", "year", "quarter", "c_mktsegment").agg(F.count("*").alias("n")), f"select p_brand, year(o_orderdate)::integer as year, quarter(o_orderdate)::integer as quarter, c_mktsegment, count(*) as n from {_KEYS} group by all")
 add("j1_nation_keys", lambda s, d: _keys(s, d).join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name", "p_type").agg(F.count("*").alias("n")), f"select n_name, p_type, count(*) as n from nation, {_KEYS} and c_nationkey = n_nationkey group by all")
+
+
+def _star(spark: SparkSession, sf: str) -> DataFrame:
+    s = table(spark, sf, "supplier").select("s_suppkey", "s_name", F.col("s_nationkey").alias("store_nation"))
+    n = table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", F.datediff("l_shipdate", F.lit("1992-01-01")).alias("ship_day"))
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", F.year("o_orderdate").alias("year"), F.quarter("o_orderdate").alias("quarter"), F.month("o_orderdate").alias("month"))
+    c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment", F.floor(F.col("c_acctbal") / 1000).alias("credit"))
+    p = table(spark, sf, "part").select("p_partkey", "p_type", "p_brand", "p_name", "p_size")
+    joined = li.join(p, F.col("l_partkey") == F.col("p_partkey")).join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
+    return joined.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+
+
+_STAR = """(select *, s_nationkey as store_nation, datediff('day', date '1992-01-01', l_shipdate::date)::integer as ship_day, year(o_orderdate)::integer as year, quarter(o_orderdate)::integer as quarter, month(o_orderdate)::integer as month, floor(c_acctbal / 1000)::bigint as credit
+    from lineitem, part, orders, customer, supplier, nation where l_partkey = p_partkey and l_orderkey = o_orderkey and o_custkey = c_custkey and l_suppkey = s_suppkey and c_nationkey = n_nationkey)"""
+KEY_SETS = {  # the roles of five published sort keys, on this schema
+    "q067": ["p_type", "p_brand", "p_name", "year", "quarter", "month", "s_name"],
+    "q050": ["s_name", "store_nation", "ship_day", "l_returnflag", "l_linestatus"],
+    "q010": ["c_mktsegment", "o_orderpriority", "credit", "n_name", "year"],
+    "q064": ["p_name", "s_name", "year", "n_name", "c_nationkey", "month"],
+    "q081": ["c_name", "n_name", "credit", "c_mktsegment", "l_returnflag"],
+}
+
+
+def _coded_keys(spark: SparkSession, sf: str, columns: list[str]) -> DataFrame:
+    """Joined, each key column coded densely, and sorted; equal rows counted."""
+    rows = _star(spark, sf).groupBy(*columns).agg(F.count("*").alias("n"))
+    for i, c in enumerate(columns):
+        rows = sorting.dense_codes(rows, c, f"k{i}").drop(c)
+    return sorting.sort_columns(rows, [f"k{i}" for i in range(len(columns))])
+
+
+for _name, _set in KEY_SETS.items():
+    _codes = ", ".join(f"(dense_rank() over (order by {c}) - 1)::bigint as k{i}" for i, c in enumerate(_set))
+    add(f"j1_{_name}_codes", lambda s, d, x=_set: _coded_keys(s, d, x), f"select n, {_codes} from (select count(*) as n, {', '.join(_set)} from {_STAR} group by all)")
+
 add("j2_dense_codes", lambda s, d: sorting.dense_codes(table(s, d, "part").select("p_partkey", "p_brand"), "p_brand", "code"), "select p_partkey, p_brand, (dense_rank() over (order by p_brand nulls first) - 1)::bigint as code from part")
 add("j3_group_share", lambda s, d: sorting.group_share(_orders(s, d), "o_custkey").select("n_distinct", F.round("largest_share", 9).alias("largest_share")), "select count(o_custkey) as n_distinct, round(max(n) / sum(n), 9)::double as largest_share from (select o_custkey, count(*) as n from orders group by 1)")
 add("j4_sample_rows", lambda s, d: sample_rows(_orders(s, d), 100, "pos"))
@@ -201,16 +300,16 @@ _COSTS = f"(select scenario, plan, round(median(cost), 6) as cost from {_SAMPLES
 
 
 def _expected(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.range(12).select(F.concat(F.lit("s"), (F.col("id") % 4).cast("string")).alias("scenario_id"), F.floor(F.col("id") / 4).alias("paired_block"))
+    return table(spark, sf, "events").select(F.concat(F.lit("s"), (F.col("event_id") % 4).cast("string")).alias("scenario_id"), F.floor(F.col("event_id") / 7).alias("paired_block"))
 
 
 def _observed(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").where("event_id < 9").select(F.concat(F.lit("s"), (F.col("event_id") % 5).cast("string")).alias("scenario_id"), F.floor(F.col("event_id") / 6).alias("paired_block"), F.when(F.col("event_id") == 3, "failed").otherwise("ok").alias("status"))
+    return table(spark, sf, "events").select(F.concat(F.lit("s"), (F.col("event_id") % 5).cast("string")).alias("scenario_id"), F.floor(F.col("event_id") / 6).alias("paired_block"), F.when(F.col("event_id") % 97 == 3, "failed").otherwise("ok").alias("status"))
 
 
-add("m1_validate", lambda s, d: measurements.validate(_expected(s, d), _observed(s, d), ["scenario_id", "paired_block"]), """with e as (select 's' || (id % 4) as scenario_id, id // 4 as paired_block from range(12) t(id)), o as (select 's' || (event_id % 5) as scenario_id, event_id // 6 as paired_block, case when event_id = 3 then 'failed' else 'ok' end as status from events where event_id < 9)
- select scenario_id, paired_block, 'missing' as kind from e where (scenario_id, paired_block) not in (select (scenario_id, paired_block) from o)
- union all select distinct scenario_id, paired_block, 'foreign' from o where (scenario_id, paired_block) not in (select (scenario_id, paired_block) from e)
+add("m1_validate", lambda s, d: measurements.validate(_expected(s, d), _observed(s, d), ["scenario_id", "paired_block"]), """with e as (select 's' || (event_id % 4) as scenario_id, event_id // 7 as paired_block from events), o as (select 's' || (event_id % 5) as scenario_id, event_id // 6 as paired_block, case when event_id % 97 = 3 then 'failed' else 'ok' end as status from events)
+ select scenario_id, paired_block, 'missing' as kind from e anti join o using (scenario_id, paired_block)
+ union all select distinct scenario_id, paired_block, 'foreign' from o anti join e using (scenario_id, paired_block)
  union all select scenario_id, paired_block, 'duplicate' from o group by all having count(*) > 1
  union all select distinct scenario_id, paired_block, 'failed' from o where status <> 'ok'""")
 _STATS = ("median", "min", "max", "p05", "p95", "mad", "relative_mad")
@@ -229,13 +328,13 @@ def _grid(spark: SparkSession) -> DataFrame:
 
 def _points(spark: SparkSession, sf: str) -> DataFrame:
     e = F.col("event_id")
-    return table(spark, sf, "events").where("event_id < 500").select(e.alias("point_id"), F.lit("p").alias("plan"), (e % 230).cast("double").alias("rows"), (e % 21).cast("double").alias("batch"), (e % 11 / 10).alias("sel"))
+    return table(spark, sf, "events").select(e.alias("point_id"), F.lit("p").alias("plan"), (e % 230).cast("double").alias("rows"), (e % 21).cast("double").alias("batch"), (e % 11 / 10).alias("sel"))
 
 
 _W = lambda x, g, step: f"greatest(0, 1 - abs({x} - {g}) / {step})"
 add("m4_interpolate", lambda s, d: measurements.interpolate(_points(s, d), _grid(s), ["rows", "batch", "sel"], ["plan"], "cost").select("point_id", _R("cost")),
     f"""with g as (select (id % 3 * 100)::double as r, (id // 3 % 3 * 10)::double as b, id // 9 * 0.5::double as s, (id * id)::double as cost from range(27) t(id)),
-    p as (select event_id as point_id, (event_id % 230)::double as r, (event_id % 21)::double as b, event_id % 11 / 10 as s from events where event_id < 500)
+    p as (select event_id as point_id, (event_id % 230)::double as r, (event_id % 21)::double as b, event_id % 11 / 10 as s from events)
     select point_id, case when max(p.r) <= 200 then round(sum({_W('p.r', 'g.r', 100)} * {_W('p.b', 'g.b', 10)} * {_W('p.s', 'g.s', 0.5)} * cost), 6) end as cost from p, g group by 1""")
 add("m5_regrets", lambda s, d: measurements.regrets(_costs(s, d), _costs(s, d).groupBy("scenario").agg(F.max("plan").alias("plan")), "scenario", "plan", "cost").select("scenario", "plan", _R("regret")),
     f"with c as {_COSTS}, k as (select scenario, max(plan) as plan from c group by 1) select k.scenario, k.plan, round(c.cost / b.best - 1, 6) as regret from k join c using (scenario, plan) join (select scenario, min(cost) as best from c group by 1) b on b.scenario = k.scenario")
@@ -245,12 +344,12 @@ add("m6_scenario_matrix", lambda s, d: measurements.scenario_matrix([s.range(3).
 def _rounds(spark: SparkSession, sf: str) -> DataFrame:
     e = F.col("event_id")
     factor = F.when(F.col("c") == 0, 1.0).when(F.col("c") == 1, 0.7).when(F.col("c") == 2, F.when(e % 3 == 0, 0.6).otherwise(1.2)).otherwise(0.8)
-    rows = table(spark, sf, "events").where("event_id < 240").select("event_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("c"))
+    rows = table(spark, sf, "events").select("event_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("c"))
     return rows.select((e % 4).alias("set_id"), F.floor(e / 4 % 3).alias("scenario"), F.when(F.col("c") == 0, "default").otherwise(F.concat(F.lit("c"), F.col("c").cast("string"))).alias("candidate"), F.floor(e / 12).alias("round"), ((100 + e % 7) * factor).alias("cost"))
 
 
 add("m7_dominant", lambda s, d: measurements.dominant(_rounds(s, d)).select("set_id", "selected", "status", _R("improvement")),
-    """with r as (select event_id % 4 as set_id, event_id // 4 % 3 as scenario, case c when 0 then 'default' else 'c' || c end as candidate, event_id // 12 as round, (100 + event_id % 7) * case c when 0 then 1.0 when 1 then 0.7 when 2 then case when event_id % 3 = 0 then 0.6 else 1.2 end else 0.8 end::double as cost from events, range(4) t(c) where event_id < 240),
+    """with r as (select event_id % 4 as set_id, event_id // 4 % 3 as scenario, case c when 0 then 'default' else 'c' || c end as candidate, event_id // 12 as round, (100 + event_id % 7) * case c when 0 then 1.0 when 1 then 0.7 when 2 then case when event_id % 3 = 0 then 0.6 else 1.2 end else 0.8 end::double as cost from events, range(4) t(c)),
     g as (select a.set_id, a.scenario, a.candidate, (b.cost - a.cost) / b.cost as gain from r a join r b on a.set_id = b.set_id and a.scenario = b.scenario and a.round = b.round where b.candidate = 'default' and a.candidate <> 'default'),
     s as (select set_id, candidate, scenario, median(gain) as med, mad(gain) as dev, count(*) as n, count_if(gain > 0) as wins from g group by all),
     w as (select set_id, candidate, bool_and(n >= 3 and 3 * wins >= 2 * n and med >= 0.05 and dev <= greatest(0.02, 0.75 * med)) as ok, min(med) as least from s group by all),

@@ -105,8 +105,22 @@ QUERIES["o_compress_store"] = lambda spark, sf: positional.compress_store(rows(s
 ORACLE_SQL["o_compress_store"] = f"select row_number() over (order by pos) - 1 as pos, w from {ROWS_SQL} where m"
 QUERIES["o_expand_load"] = lambda spark, sf: positional.expand_load(rows(spark, sf).drop("w"), "m", rows(spark, sf), "w").select("pos", "w")
 ORACLE_SQL["o_expand_load"] = f"with r as {ROWS_SQL}, k as (select pos, m, sum(m::int) over (order by pos) - 1 as k from r) select k.pos, case when k.m then r.w else 0 end as w from k left join r on r.pos = k.k"
-QUERIES["o_gather_rows"] = lambda spark, sf: positional.gather(rows(spark, sf).select(F.col("pos").alias("ord"), F.pmod(F.col("pos") * 17, F.lit(1000)).alias("row_id")), rows(spark, sf), "w").select("ord", "w")
-ORACLE_SQL["o_gather_rows"] = f"with r as {ROWS_SQL} select a.pos as ord, b.w from r a left join r b on b.pos = a.pos * 17 % 1000"
-QUERIES["o_scatter_rows"] = lambda spark, sf: positional.scatter(rows(spark, sf).select("pos", "w"), rows(spark, sf).select(F.col("pos").alias("ord"), F.pmod(F.col("pos") * 17, F.lit(500)).alias("row_id"), F.col("v").alias("w")), "w")
-ORACLE_SQL["o_scatter_rows"] = f"with r as {ROWS_SQL}, n as (select pos * 17 % 500 as row_id, max_by(v, pos) as v from r group by 1) select r.pos, coalesce(n.v, r.w) as w from r left join n on n.row_id = r.pos"
+
+
+def _gather_rows(spark: SparkSession, sf: str) -> DataFrame:
+    base = rows(spark, sf)
+    at = F.pmod(F.col("pos") * 17, F.lit(base.count() + 7))  # a few ids name no row
+    return positional.gather(base.select(F.col("pos").alias("ord"), at.alias("row_id")), base, "w").select("ord", "w")
+
+
+def _scatter_rows(spark: SparkSession, sf: str) -> DataFrame:
+    base = rows(spark, sf)
+    at = F.pmod((F.col("pos") - F.col("pos") % 3) * 17, F.lit(max(1, base.count())))  # ids repeat: the last write stays
+    return positional.scatter(base.select("pos", "w"), base.select(F.col("pos").alias("ord"), at.alias("row_id"), F.col("v").alias("w")), "w")
+
+
+QUERIES["o_gather_rows"] = _gather_rows
+ORACLE_SQL["o_gather_rows"] = f"with r as {ROWS_SQL} select a.pos as ord, b.w from r a left join r b on b.pos = a.pos * 17 % ((select count(*) from events) + 7)"
+QUERIES["o_scatter_rows"] = _scatter_rows
+ORACLE_SQL["o_scatter_rows"] = f"with r as {ROWS_SQL}, n as (select (pos - pos % 3) * 17 % (select count(*) from events) as row_id, max_by(v, pos) as v from r group by 1) select r.pos, coalesce(n.v, r.w) as w from r left join n on n.row_id = r.pos"
 QUERIES["o_random_step"] = lambda spark, sf: rows(spark, sf).select("pos", fn.random_step(1).alias("r"))
