@@ -122,7 +122,7 @@ def order_rules(docs: DataFrame, rules: dict[str, Callable[[Env], Column]], text
     """
     spark, t = docs.sparkSession, F.col("text")
     picked = docs.select(F.col(text).alias("text")).where((F.length("text") <= SAMPLE_CHARS) & (F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0)).limit(rows).collect()
-    sample = cut(spark.createDataFrame([(r["text"],) for r in picked], "text string").coalesce(1), "rules-sample").select("text", F.explode(F.sequence(F.lit(1), F.lit(COPIES))))
+    sample = cut(spark.range(1).select(F.explode(F.array(*(F.lit(r["text"]) for r in picked)).cast("array<string>")).alias("text")), "rules-sample").select("text", F.explode(F.sequence(F.lit(1), F.lit(COPIES))))
     env = lambda name: let(t, lambda x: MEASURES[name](x))
     n = max(1, len(picked) * COPIES)
 
