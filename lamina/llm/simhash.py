@@ -352,8 +352,9 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     rows = packed(docs, "doc_id", F.xxhash64("text").alias("text_key"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
     # the rows that go are fewer than those that stay, and so is what meets the texts
-    out = rows.join(cut(per.where(~F.col("stays")).select("_id", "_key"), "gone"), same, "left_anti")
+    out = rows.join(small(cut(per.where(~F.col("stays")).select("_id", "_key"), "gone")), same, "left_anti")
     repeated = cut(per.where(F.col("stays") & (F.col("rows") > 1)).select("_id", "_key"), "repeated")
     if not repeated.isEmpty():
+        repeated = small(repeated)
         out = out.join(repeated, same, "left_anti").unionByName(out.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text_key"]))
     return out.select(*unpacked(docs))
