@@ -16,12 +16,27 @@ from pyspark.sql import functions as F
 TPC_CARDINALITIES = (10, 99, 710, 17958, 6, 4, 12, 4)  # fixed values: distinct values of the eight key columns
 
 
+_P = (1 << 31) - 1  # a prime: products of two residues fit in 62 bits
+_HALVES = ((1103515245, 69069, 1597334677), (1812433253, 22695477, 747796405))  # multipliers of a hash's two halves
+
+
+def _hash62(pos: Column, column: int, seed: int) -> Column:
+    """62 bits from an ordinal of 0 or more, in plain 64-bit arithmetic that SQL has too: multiply, exclusive or of the upper half, multiply."""
+    halves = []
+    for k, (a, b, d) in enumerate(_HALVES):
+        start = (seed * 1_000_003 + column * 7919 + k * 104_729 + 12_345) % _P
+        a = a * pow(48_271, column, _P) % _P  # columns have multipliers of their own
+        x = F.pmod(F.pmod(pos, F.lit(_P)) * F.lit(a).cast("bigint") + F.call_function("div", pos, F.lit(_P)) * F.lit(b).cast("bigint") + F.lit(start).cast("bigint"), F.lit(_P).cast("bigint"))
+        halves.append(F.pmod(x.bitwiseXOR(F.shiftright(x, 15)) * F.lit(d).cast("bigint"), F.lit(_P).cast("bigint")))
+    return halves[0] * F.lit(1 << 31).cast("bigint") + halves[1]
+
+
 def _uniform(pos: Column, column: int, seed: int, n: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), F.lit(column), pos), F.lit(n).cast("bigint"))
+    return F.pmod(_hash62(pos, column, seed), F.lit(n).cast("bigint"))
 
 
 def _share(pos: Column, column: int, seed: int) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(column), pos), 11).cast("double") * 2.0**-53
+    return _hash62(pos, column, seed).cast("double") * 2.0**-62
 
 
 def _scattered(pos: Column, n: int, seed: int) -> Column:
@@ -70,7 +85,7 @@ def _columns(name: str, p: Column, n: int, m: int, seed: int, o: dict) -> list[C
         k = o.get("prefix", 1)
         return [F.floor(p * (16 ** (j + 1)) / max(n, 1)).cast("bigint") if j < k else _uniform(p, j, seed, 1024) for j in range(m)]
     if name == "clustered_runs":
-        return [F.pmod(F.xxhash64(F.lit(seed), F.floor(p / o.get("run", 64))), F.lit(1 << 20).cast("bigint")), *rest(1, 1024)]
+        return [_uniform(F.floor(p / o.get("run", 64)), 0, seed, 1 << 20), *rest(1, 1024)]
     if name == "reverse_sorted":
         return [F.lit(n - 1).cast("bigint") - p, *rest(1, 1024)]
     if name == "organ_pipe":
@@ -108,18 +123,32 @@ def generate(spark: SparkSession, shape: str, rows: int, columns: int, seed: int
     return spark.range(rows).withColumnRenamed("id", "pos").select("pos", *(c.alias(f"k{i}") for i, c in enumerate(made)))
 
 
-def split_sizes(total: int, parts: int, kind: str = "balanced", s: float = 1.0) -> list[int]:
-    """Sizes that sum to the total: balanced, or falling as a zipf law."""
+def split_sizes(spark: SparkSession, total: int, kind: str = "balanced", parts: int = 64, group: int = 64, s: float = 1.0) -> DataFrame:
+    """part, size: sizes that sum to the total.
+
+    balanced: `parts` sizes that differ by one at most; fixed: groups of `group`, the last takes the rest; multiple: `parts` sizes
+    that are multiples of `group`, the last takes the rest as well; zipf: `parts` sizes that fall as a power law.
+    """
+    i = F.col("part")
+    if kind == "fixed":
+        return spark.range(-(-total // group)).toDF("part").select("part", F.least(F.lit(group).cast("bigint"), F.lit(total).cast("bigint") - i * group).alias("size"))
+    rows = spark.range(parts).toDF("part")
     if kind == "balanced":
-        return [total // parts + (i < total % parts) for i in range(parts)]
-    weights = [1 / (i + 1) ** s for i in range(parts)]
-    marks = [round(total * sum(weights[: i + 1]) / sum(weights)) for i in range(parts)]
-    return [b - a for a, b in zip([0, *marks[:-1]], marks, strict=True)]
+        return rows.select("part", (F.lit(total // parts).cast("bigint") + (i < total % parts).cast("bigint")).alias("size"))
+    if kind == "multiple":
+        units = total // group
+        size = (F.lit(units // parts).cast("bigint") + (i < units % parts).cast("bigint")) * group
+        return rows.select("part", (size + F.when(i == parts - 1, total % group).otherwise(0)).alias("size"))
+    if kind != "zipf":
+        raise ValueError(kind)
+    weights = [1 / (k + 1) ** s for k in range(parts)]
+    marks = [math.floor(total * sum(weights[: k + 1]) / sum(weights) + 0.5) for k in range(parts)]
+    return spark.createDataFrame([(k, b - a) for k, (a, b) in enumerate(zip([0, *marks[:-1]], marks, strict=True))], "part long, size long")
 
 
 def shuffle_rows(df: DataFrame, block: int, seed: int = 1, pos: str = "pos") -> DataFrame:
     """Rows in a new order within blocks of `block` rows (new ordinals in `new_pos`)."""
-    w = Window.partitionBy(F.floor(F.col(pos) / block)).orderBy(F.xxhash64(F.lit(seed), pos), pos)
+    w = Window.partitionBy(F.floor(F.col(pos) / block)).orderBy(_hash62(F.col(pos), 0, seed), pos)
     return df.withColumn("new_pos", F.floor(F.col(pos) / block).cast("bigint") * block + F.row_number().over(w) - 1)
 
 

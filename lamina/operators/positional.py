@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.sources.shared import cut
+
 RANGE = 1 << 16
 
 
@@ -59,3 +61,39 @@ def registers(df: DataFrame, columns: list[str], lanes: int, pos: str = "pos") -
 
 def _field(rows: str, name: str) -> Column:
     return F.transform(rows, lambda s: s[name])
+
+
+def load_scalar(df: DataFrame, value: str, at: int, pos: str = "pos") -> DataFrame:
+    """The one value at an ordinal; none if there is no such row. The test reaches the scan."""
+    return df.where(F.col(pos) == at).select(value)
+
+
+def store_scalar(df: DataFrame, value: str, at: int, scalar: object, pos: str = "pos") -> DataFrame:
+    """df with one value stored at an ordinal; other rows stay."""
+    kind = df.schema[value].dataType
+    return df.withColumn(value, F.when(F.col(pos) == at, F.lit(scalar).cast(kind)).otherwise(F.col(value)))
+
+
+def store(registers_: DataFrame, column: str, lanes: int, out: str = "v") -> DataFrame:
+    """Registers (chunk and an array) written to the shared folder lane after lane, and read from there: pos, out."""
+    rows = registers_.select("chunk", F.posexplode(column).alias("_i", out)).select((F.col("chunk") * lanes + F.col("_i")).alias("pos"), out)
+    return cut(rows, "store")
+
+
+def store_mask(registers_: DataFrame, mask: str, layout: str = "integral") -> DataFrame:
+    """Masks (chunk and an array of booleans, 64 lanes at most) written to the shared folder and read from there: chunk, mask.
+
+    native: the booleans; integral: a bigint, lane i at bit i; bytes: a byte 0 or 1 a lane; bits: the bigint's bytes, lowest first, as many as the lanes fill.
+    """
+    m = F.col(mask)
+    if layout == "bytes":
+        m = F.unhex(F.array_join(F.transform(m, lambda b: F.when(b, "01").otherwise("00")), ""))
+    elif layout != "native":
+        one = F.lit(1).cast("bigint")
+        lane = F.transform(m, lambda b, i: F.when(b, F.call_function("shiftleft", one, i)).otherwise(F.lit(0).cast("bigint")))
+        word = F.aggregate(lane, F.lit(0).cast("bigint"), lambda x, y: x.bitwiseOR(y))
+        if layout == "bits":
+            octet = lambda k: F.lpad(F.hex(F.call_function("shiftrightunsigned", word, k * 8).bitwiseAND(F.lit(255).cast("bigint"))), 2, "0")
+            word = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.size(m) - 1) / 8).cast("int")), octet), ""))
+        m = word
+    return cut(registers_.select("chunk", m.alias("mask")), "store-mask")

@@ -82,6 +82,40 @@ def sort_array_column(register: Column) -> Column:
     return F.array_sort(register)
 
 
+def sort_values(df: DataFrame, key: str, descending: bool = False, pos: str = "pos") -> DataFrame:
+    """ord and the key alone, in order; the row's own ordinal only spreads equal keys over ranges."""
+    return ranked(df.select(key, pos), [*_order([key], [descending]), F.col(pos).asc()]).select("ord", key)
+
+
+def cosort_registers(key: Column, payload: Column) -> Column:
+    """The payload's lanes in the order of the key's, equal keys in the order of their lanes."""
+    lanes = F.transform(key, lambda k, i: F.struct(k.alias("k"), i.alias("i")))
+    return F.transform(F.array_sort(lanes), lambda s: F.get(payload, s["i"]))
+
+
+def sort_image(df: DataFrame, columns: list[str], descending: list[bool] | None = None, pos: str = "pos") -> DataFrame:
+    """ord and every column of the stably sorted table: what any sort of it has to give."""
+    return ranked(df, [*_order(columns, descending), F.col(pos).asc()])
+
+
+def conformance(image: DataFrame, df: DataFrame, columns: list[str], descending: list[bool] | None = None) -> DataFrame:
+    """One row: rows of df that the image (ord and df's columns) lacks, rows it has besides, neighbours in the wrong order. A right image gives zeros."""
+    names = df.columns
+    sides = image.select(*names, F.lit(1).alias("_d")).union(df.select(*names, F.lit(-1).alias("_d")))
+    off = sides.groupBy(*names).agg(F.sum("_d").alias("_d")).agg(F.coalesce(F.sum(F.when(F.col("_d") < 0, -F.col("_d"))), F.lit(0)).alias("missing"), F.coalesce(F.sum(F.when(F.col("_d") > 0, F.col("_d"))), F.lit(0)).alias("foreign"))
+    here = image.select("ord", *(F.col(c).alias(f"_a{i}") for i, c in enumerate(columns)))
+    next_ = image.select((F.col("ord") - 1).alias("ord"), *(F.col(c).alias(f"_b{i}") for i, c in enumerate(columns)))
+    wrong = F.lit(False)
+    for i, down in reversed(list(enumerate(descending or [False] * len(columns)))):
+        a, b = F.col(f"_a{i}"), F.col(f"_b{i}")
+        later, earlier = (b, a) if down else (a, b)  # nulls first, or last where descending
+        before = F.coalesce(later > earlier, later.isNotNull() & earlier.isNull())
+        wrong = before | (a.eqNullSafe(b) & wrong)
+    order = here.join(next_, "ord").agg(F.count_if(wrong).alias("disordered"))
+    both = off.withColumn("disordered", F.lit(0)).unionByName(order, allowMissingColumns=True)
+    return both.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("missing", "foreign", "disordered")))
+
+
 def partition_side(x: Column, pivot: Column) -> Column:
     """-1, 0 or 1: before, equal to or behind the pivot."""
     return F.when(x < pivot, -1).when(x == pivot, 0).otherwise(1)

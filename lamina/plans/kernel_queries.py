@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 import lamina.functions as fn
 from lamina.analytics import catalog, datasets, measurements
 from lamina.operators import algo, positional, sorting
+from lamina.sources import columnfile
+from lamina.sources.shared import folder
 from lamina.sources.tables import sample_rows, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -212,6 +214,7 @@ add("s5_argsort", lambda s, d: sorting.sort_index(_orders(s, d), _S, [False, Tru
 add("s6_sample_sort", lambda s, d: sorting.sample_sort(_orders(s, d), ["o_custkey", "pos"]), f"select * from {_ORD}")
 add("s8_argsort_three", lambda s, d: sorting.sort_index(_orders(s, d), ["o_orderstatus", "o_custkey", "o_totalprice"]), f"select row_number() over (order by o_orderstatus, o_custkey, o_totalprice, pos) - 1 as ord, pos as row_id from {_ORD}")
 add("s9_apply_permutation", lambda s, d: sorting.apply_permutation(sorting.sort_index(_orders(s, d), ["o_custkey"]), _orders(s, d)).select("ord", "o_custkey", "o_totalprice"), f"select row_number() over (order by o_custkey, pos) - 1 as ord, o_custkey, o_totalprice from {_ORD}")
+add("s10_sort_values", lambda s, d: sorting.sort_values(_orders(s, d), "o_custkey", True), "select row_number() over (order by o_custkey desc) - 1 as ord, o_custkey from orders")
 add("s11_sort_register", lambda s, d: table(s, d, "embeddings").select("vec_id", F.element_at(sorting.sort_array_column(F.col("embedding")), 1).alias("least"), F.element_at(sorting.sort_array_column(F.col("embedding")), -1).alias("greatest")), "select vec_id, list_sort(embedding)[1] as least, list_sort(embedding)[-1] as greatest from embeddings")
 add("s13_partition_step", lambda s, d: _orders(s, d).select("pos", sorting.partition_side(F.col("o_custkey"), sorting.median_of_three(F.lit(100), F.lit(700), F.lit(300))).alias("side")), f"select pos, sign(o_custkey - 300)::integer as side from {_ORD}")
 
@@ -227,6 +230,8 @@ add("s16_equal_runs_scan", lambda s, d: sorting.equal_runs_scan(_run_rows(s, d),
 add("s17_runs_from_frequencies", lambda s, d: sorting.sorted_runs(_orders(s, d), _S), 'select begin, "end" from (select (sum(n) over w - n)::bigint as begin, (sum(n) over w)::bigint as "end", n from (select o_orderstatus, o_custkey, count(*) as n from orders group by 1, 2) window w as (order by o_orderstatus, o_custkey)) where n > 1')
 add("s18_distinct_frequencies", lambda s, d: sorting.distinct_frequencies(_orders(s, d), "o_custkey"), "select o_custkey as value, count(*) as n from orders group by 1")
 add("s19_scan_lt_gt", lambda s, d: sorting.scan_lt(_orders(s, d), "o_custkey", 100).union(sorting.scan_gt(_orders(s, d), "o_custkey", 1000)).select("pos", "o_custkey"), f"select pos, o_custkey from {_ORD} where o_custkey < 100 or o_custkey > 1000")
+add("s20_sort_image", lambda s, d: sorting.sort_image(_orders(s, d), _S, [True, False]), f"select row_number() over (order by o_orderstatus desc, o_custkey, pos) - 1 as ord, * from {_ORD}")
+add("s20_conformance", lambda s, d: sorting.conformance(sorting.sort_image(_orders(s, d), _S, [True, False]), _orders(s, d), _S, [True, False]), "select 0::bigint as missing, 0::bigint as foreign, 0::bigint as disordered")
 
 
 # ---- joins and keys
@@ -279,7 +284,19 @@ for _name, _set in KEY_SETS.items():
 
 add("j2_dense_codes", lambda s, d: sorting.dense_codes(table(s, d, "part").select("p_partkey", "p_brand"), "p_brand", "code"), "select p_partkey, p_brand, (dense_rank() over (order by p_brand nulls first) - 1)::bigint as code from part")
 add("j3_group_share", lambda s, d: sorting.group_share(_orders(s, d), "o_custkey").select("n_distinct", F.round("largest_share", 9).alias("largest_share")), "select count(o_custkey) as n_distinct, round(max(n) / sum(n), 9)::double as largest_share from (select o_custkey, count(*) as n from orders group by 1)")
-add("j4_sample_rows", lambda s, d: sample_rows(_orders(s, d), 100, "pos"))
+add("j4_sample_rows", lambda s, d: sample_rows(_orders(s, d), 100, "pos"), f"select * from {_ORD} order by md5('1:' || pos), pos limit 100")
+
+
+def _column_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys written as column files, a file a partition, and read back."""
+    columnfile.register(spark)
+    rows = _orders(spark, sf).select("pos", F.col("o_custkey").alias("k0"), F.floor("o_totalprice").alias("k1"))
+    path = folder(spark, "column-file")
+    rows.repartitionByRange("pos").write.format("columnfile").mode("append").option("path", path).save()
+    return spark.read.format("columnfile").option("path", path).load()
+
+
+add("j5_column_file", _column_file, f"select pos, o_custkey as k0, floor(o_totalprice)::bigint as k1 from {_ORD}")
 
 # ---- measurement analytics: scenario = event_type, plan = user_id % 4, cost = value + 1
 _R = lambda c, name=None: F.round(c, 6).alias(name or c)
@@ -362,22 +379,74 @@ add("m8_top", lambda s, d: measurements.top(_samples(s, d), 10, "cost", "round")
 _D = ["o_orderstatus", "o_custkey", "o_orderpriority"]
 
 
-def _describe_sql() -> str:
-    parts = []
-    for j in range(1, 4):
-        lows = (0, *datasets.GROUP_BOUNDS)
-        hist = ", ".join(f"count_if(n > {a} and n <= {b})::bigint as groups_to_{b}" for a, b in zip(lows, datasets.GROUP_BOUNDS, strict=False))
-        parts.append(f"select {j} as prefix, count(*) as distinct_prefixes, coalesce(sum(n) filter (n > 1), 0)::bigint as tied_rows, max(n) as max_group, count_if(n > 1)::bigint as nontrivial_groups, {hist} from (select count(*) as n from orders group by {', '.join(_D[:j])})")
+_LOWS = tuple(zip((0, *datasets.GROUP_BOUNDS), datasets.GROUP_BOUNDS, strict=False))
+
+
+def _describe_sql(source: str, columns: list[str]) -> str:
+    hist = ", ".join(f"count_if(n > {a} and n <= {b})::bigint as groups_to_{b}" for a, b in _LOWS)
+    parts = [f"select {j} as prefix, count(*) as distinct_prefixes, coalesce(sum(n) filter (n > 1), 0)::bigint as tied_rows, max(n) as max_group, count_if(n > 1)::bigint as nontrivial_groups, {hist} from (select count(*) as n from {source} group by {', '.join(columns[:j])})" for j in range(1, len(columns) + 1)]
     return " union all ".join(parts)
 
 
-add("d4_describe", lambda s, d: datasets.describe(table(s, d, "orders"), _D), _describe_sql())
+def _closed_sql(groups: list[tuple[int, int]]) -> str:
+    """The description of groups of equal sizes: (size, number) for each prefix."""
+    return " union all ".join(
+        f"select {j} as prefix, {k}::bigint as distinct_prefixes, {size * k if size > 1 else 0}::bigint as tied_rows, {size}::bigint as max_group, {k if size > 1 else 0}::bigint as nontrivial_groups, "
+        + ", ".join(f"{k if a < size <= b else 0}::bigint as groups_to_{b}" for a, b in _LOWS)
+        for j, (size, k) in enumerate(groups, 1)
+    )
+
+
+add("d4_describe", lambda s, d: datasets.describe(table(s, d, "orders"), _D), _describe_sql("orders", _D))
 add("d4_in_order", lambda s, d: datasets.in_order_fraction(_orders(s, d), ["o_custkey"]).select(F.round("in_order", 9).alias("in_order"), "ascending_runs"), "with x as (select o_custkey <= lead(o_custkey) over (order by o_orderkey) as up from orders) select round(avg(up::int), 9) as in_order, count_if(not up)::bigint + 1 as ascending_runs from x")
 add("d4_inversions", lambda s, d: datasets.inversions(table(s, d, "customer").select(F.col("c_custkey").alias("pos"), F.floor("c_acctbal").cast("bigint").alias("r")), "r"), "select count(*) as inversions from customer a, customer b where a.c_custkey < b.c_custkey and floor(a.c_acctbal) > floor(b.c_acctbal)")
-for _shape in datasets.SHAPES:
-    add(f"d1_{_shape}", lambda s, d, x=_shape: datasets.describe(datasets.generate(s, x, 4096, 3), ["k0", "k1", "k2"]))
-add("d3_shuffle_rows", lambda s, d: datasets.shuffle_rows(_orders(s, d), 64).select("pos", "new_pos"))
-add("d5_splitmix64", lambda s, d: _orders(s, d).select("pos", datasets.splitmix64(F.col("pos")).alias("h")))
+_N, _SEED, _PRIME = 4096, 17, (1 << 31) - 1
+
+
+def _sql_hash(column: int, pos: str = "pos", seed: int = _SEED) -> str:
+    """Two halves of 31 bits; fixed values as the generator states them."""
+    half = lambda x, d: f"(xor({x}, ({x}) >> 15) * {d}::bigint % {_PRIME})"
+    mixed = [f"((({pos}) % {_PRIME} * {a * pow(48_271, column, _PRIME) % _PRIME}::bigint + ({pos}) // {_PRIME} * {b} + {(seed * 1_000_003 + column * 7919 + k * 104_729 + 12_345) % _PRIME}) % {_PRIME})" for k, (a, b) in enumerate(((1103515245, 69069), (1812433253, 22695477)))]
+    return f"({half(mixed[0], 1597334677)} * 2147483648::bigint + {half(mixed[1], 747796405)})"
+
+
+def _below(column: int, n: int, pos: str = "pos") -> str:
+    return f"{_sql_hash(column, pos)} % {n}"
+
+
+_PLACE = f"(pos * 2531 + {_SEED}) % {_N}"
+_UNIQUE = [(1, _N)] * 3
+_DEEP = [_below(1, 1024), _below(2, 1024)]
+_FIRST = f"({_below(0, 4096)})"
+#: closed descriptions, or the three columns in SQL
+_SHAPES_SQL: dict[str, list] = {
+    "unique_first": _UNIQUE, "unique_last": [(64, 64), (64, 64), (1, _N)], "balanced_hierarchy": [(256, 16), (16, 256), (1, _N)], "all_equal_prefix": [(_N, 1), (_N, 1), (1, _N)],
+    "reverse_sorted": _UNIQUE, "permutation_local": _UNIQUE, "permutation_blocked": _UNIQUE, "permutation_random": _UNIQUE,
+    "independent_uniform": [_below(0, 1024), *_DEEP], "low_cardinality": [_below(j, 4) for j in range(3)],
+    "skewed_zipf": [f"least(floor(exp({_sql_hash(0)}::double * pow(2::double, -62) * ln(1025::double)))::bigint - 1, 1023)", _below(1, 64), _below(2, 64)],
+    "heavy_hitter": [f"case when {_PLACE} < 3686 then 0 else 1 + {_below(0, _N)} end", _below(1, _N), _below(2, _N)],
+    "correlated_forward": [_FIRST, f"{_FIRST} // 2", f"{_FIRST} // 4"], "correlated_reverse": [f"{_FIRST} // 4", f"{_FIRST} // 2", _FIRST],
+    "correlated_noisy": [_FIRST, *(f"case when {_sql_hash(50 + j)}::double * pow(2::double, -62) < 0.1 then {_below(j, 4096)} else {_FIRST} // {1 << j} end" for j in (1, 2))],
+    "prefix_presorted": [f"pos * 16 // {_N}", *_DEEP], "clustered_runs": [_below(0, 1 << 20, "pos // 64"), *_DEEP], "organ_pipe": [f"least(pos, {_N - 1} - pos)", *_DEEP], "sawtooth": ["pos % 1024", *_DEEP],
+    "duplicates_at_pivot": [f"case when {_PLACE} < 2048 then 2048 else {_below(0, _N)} end", *_DEEP],
+    "extreme_values": [f"case {_below(0, 64)} when 0 then 0 when 1 then 4294967295 else {_below(1, 1 << 32)} end", *_DEEP],
+    "tpcds_q67": [_below(0, 10), _below(1, 99), _below(2, 710)],
+}
+for _shape, _made in _SHAPES_SQL.items():
+    _columns_sql = f"(select {', '.join(f'{c} as k{i}' for i, c in enumerate(_made))} from range({_N}) t(pos))"
+    add(f"d1_{_shape}", lambda s, d, x=_shape: datasets.describe(datasets.generate(s, x, _N, 3, _SEED), ["k0", "k1", "k2"]), _closed_sql(_made) if isinstance(_made[0], tuple) else _describe_sql(_columns_sql, ["k0", "k1", "k2"]))
+
+_size = lambda s, d: table(s, d, "orders").count()
+_T = "(select count(*) as t from orders)"
+add("d2_split_balanced", lambda s, d: datasets.split_sizes(s, _size(s, d), "balanced", 64), f"select i as part, t // 64 + (i < t % 64)::bigint as size from {_T}, range(64) r(i)")
+add("d2_split_fixed", lambda s, d: datasets.split_sizes(s, _size(s, d), "fixed", group=64), f"select i as part, least(64, t - i * 64)::bigint as size from (select t, unnest(range((t + 63) // 64)) as i from {_T})")
+add("d2_split_multiple", lambda s, d: datasets.split_sizes(s, _size(s, d), "multiple", 16, 8), f"select i as part, (t // 8 // 16 + (i < t // 8 % 16)::bigint) * 8 + case when i = 15 then t % 8 else 0 end as size from {_T}, range(16) r(i)")
+add("d2_split_zipf", lambda s, d: datasets.split_sizes(s, _size(s, d), "zipf", 16), f"with w as (select i, 1 / (i + 1)::double as w from range(16) r(i)), c as (select i, floor(t * (select sum(x.w) from w x where x.i <= y.i) / (select sum(w) from w) + 0.5)::bigint as mark from w y, {_T}) select i as part, mark - coalesce(lag(mark) over (order by i), 0) as size from c")
+add("d3_shuffle_rows", lambda s, d: datasets.shuffle_rows(_orders(s, d), 64).select("pos", "new_pos"), f"select pos, pos // 64 * 64 + row_number() over (partition by pos // 64 order by {_sql_hash(0, 'pos', 1)}, pos) - 1 as new_pos from {_ORD}")
+_W64 = f"{1 << 64}::uhugeint"
+add("d5_splitmix64", lambda s, d: _orders(s, d).select("pos", datasets.splitmix64(F.col("pos")).alias("h")),
+    f"""with a as (select pos, ((pos::uhugeint + {0x9E3779B97F4A7C15}::uhugeint) % {_W64})::ubigint as z from {_ORD}), b as (select pos, ((xor(z, z >> 30)::uhugeint * {0xBF58476D1CE4E5B9}::uhugeint) % {_W64})::ubigint as z from a),
+    c as (select pos, ((xor(z, z >> 27)::uhugeint * {0x94D049BB133111EB}::uhugeint) % {_W64})::ubigint as z from b), e as (select pos, xor(z, z >> 31) as z from c) select pos, (z::hugeint - case when z >= {1 << 63}::ubigint then {1 << 64}::hugeint else 0::hugeint end)::bigint as h from e""")
 add("d6_filter_sum_rows", lambda s, d: datasets.filter_sum_rows(s, 10_000, 0.3, 0.5).agg(F.count_if(F.col("a") < 0).alias("after_a"), F.count_if((F.col("a") < 0) & (F.col("b") > 0)).alias("after_b")), "select 3000::bigint as after_a, 1500::bigint as after_b")
 add("d7_clustered_rows", lambda s, d: datasets.filter_sum_rows(s, 10_000, 0.1, 0.5, clustered=True).agg(F.max(F.when(F.col("a") < 0, F.col("pos"))).alias("last"), F.count_if(F.col("a") < 0).alias("after_a")), "select 999::bigint as last, 1000::bigint as after_a")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import lamina.functions as fn
-from lamina.operators import positional
+from lamina.operators import positional, sorting
 from lamina.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,23 @@ ORACLE_SQL["o_gather_rows"] = f"with r as {ROWS_SQL} select a.pos as ord, b.w fr
 QUERIES["o_scatter_rows"] = _scatter_rows
 ORACLE_SQL["o_scatter_rows"] = f"with r as {ROWS_SQL}, n as (select (pos - pos % 3) * 17 % (select count(*) from events) as row_id, max_by(v, pos) as v from r group by 1) select r.pos, coalesce(n.v, r.w) as w from r left join n on n.row_id = r.pos"
 QUERIES["o_random_step"] = lambda spark, sf: rows(spark, sf).select("pos", fn.random_step(1).alias("r"))
+
+
+# loads and stores
+QUERIES["o_load_scalar"] = lambda spark, sf: positional.load_scalar(rows(spark, sf), "w", rows(spark, sf).count() // 2).select("w")
+ORACLE_SQL["o_load_scalar"] = f"select w from {ROWS_SQL} where pos = (select count(*) // 2 from events)"
+QUERIES["o_store_scalar"] = lambda spark, sf: positional.store_scalar(rows(spark, sf), "w", rows(spark, sf).count() // 2, -7).select("pos", "w")
+ORACLE_SQL["o_store_scalar"] = f"select pos, case when pos = (select count(*) // 2 from events) then -7 else w end as w from {ROWS_SQL}"
+QUERIES["o_store"] = lambda spark, sf: positional.store(registers(spark, sf), "w", LANES)
+ORACLE_SQL["o_store"] = f"select chunk * {L} + k - 1 as pos, w[k] as v from (select chunk, w, unnest({_each}) as k from {REGISTERS_SQL})"
+_WORD = f"list_sum(list_transform({_each}, lambda k: case when m[k] then 1 << (k - 1) else 0 end))::bigint"
+for _layout, _made, _stored in (
+    ("native", lambda: _ints(F.col("mask")), "list_transform(m, lambda b: b::integer)"),
+    ("integral", lambda: F.col("mask"), _WORD),
+    ("bytes", lambda: F.hex("mask"), "array_to_string(list_transform(m, lambda b: case when b then '01' else '00' end), '')"),
+    ("bits", lambda: F.hex("mask"), f"lpad(to_hex({_WORD}), 2, '0')"),
+):
+    _array = _layout == "native"
+    QUERIES[f"o_store_mask_{_layout}"] = lambda spark, sf, x=_layout, c=_made, a=_array: positional.store_mask(registers(spark, sf), "m", x).select("chunk", (text(c()) if a else c()).alias("r"))
+    ORACLE_SQL[f"o_store_mask_{_layout}"] = f"select chunk, {sql_text(_stored) if _array else _stored} as r from {REGISTERS_SQL}"
+register("cosort", lambda v, w, i, m: sorting.cosort_registers(v, w), f"list_transform(list_sort(list_transform({_each}, lambda k: v[k]::bigint * 100 + k)), lambda x: w[x % 100])")

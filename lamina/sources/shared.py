@@ -6,16 +6,14 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write df to the folder of spark.checkpoint.dir and read it back: lineage ends, and every reader sees the same rows.
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir, removed when the driver ends.
 
     Where the setting is unset, a local folder serves if the master is this machine alone; else that is an error.
-    The table is removed when the driver ends.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
@@ -25,5 +23,11 @@ def cut(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+def cut(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends, and every reader sees the same rows."""
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
