@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lamina.operators.sorting import ranked
+
 TPC_CARDINALITIES = (10, 99, 710, 17958, 6, 4, 12, 4)  # fixed values: distinct values of the eight key columns
 
 
@@ -175,6 +177,39 @@ def in_order_fraction(df: DataFrame, columns: list[str], pos: str = "pos") -> Da
     return here.join(next_, "_p").agg(F.coalesce(F.avg((F.col("_a") <= F.col("_b")).cast("double")), F.lit(1.0)).alias("in_order"), (F.count_if(F.col("_a") > F.col("_b")) + 1).alias("ascending_runs"))
 
 
+def sort_work(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: weighted_work, scan_volume and duplicate_share of a sort column by column.
+
+    The sort by column j works on the groups of the j-1 columns before it, n log2 n for each of two rows or more, once for
+    every column from j on; all rows in such groups are scanned before every column but the last. duplicate_share: of
+    rows, those whose whole tuple is not unique. The table is grouped once; shorter prefixes add up longer ones' groups.
+    """
+    m = len(columns)
+    sizes, levels = df.groupBy(*columns).agg(F.count("*").alias("n")), None
+    for j in range(m, -1, -1):
+        if j < m:
+            sizes = sizes.groupBy(*columns[:j]).agg(F.sum("n").alias("n"))
+        n = F.when(F.col("n") > 1, F.col("n"))
+        level = sizes.agg(F.lit(j).alias("j"), F.coalesce(F.sum(n), F.lit(0)).alias("tied"), F.coalesce(F.sum(n * F.log2(n)), F.lit(0.0)).alias("work"), F.sum("n").alias("rows"))
+        levels = level if levels is None else levels.union(level)
+    j = F.col("j")
+    return levels.agg(
+        F.sum(F.when(j < m, (m - j) * F.col("work")).otherwise(0.0)).alias("weighted_work"),
+        F.sum(F.when(j <= m - 2, F.col("tied")).otherwise(0)).alias("scan_volume"),
+        F.coalesce(F.max(F.when(j == m, F.col("tied") / F.col("rows"))), F.lit(0.0)).alias("duplicate_share"),
+    )
+
+
+def order_measures(df: DataFrame, columns: list[str], pos: str = "pos") -> DataFrame:
+    """One row: displacement, the mean distance of rows (ordinals from 0) from their places in the stable sort, and adjacency, the share of neighbours that stay neighbours in it."""
+    placed = ranked(df.select(*dict.fromkeys([*columns, pos])), [*(F.col(c).asc_nulls_first() for c in columns), F.col(pos).asc()])
+    here = placed.select(F.col(pos).alias("_p"), F.col("ord").alias("_o"))
+    kept = here.join(here.select((F.col("_p") - 1).alias("_p"), (F.col("_o") - 1).alias("_o")), ["_p", "_o"]).agg(F.count("*").alias("kept"))
+    far = here.agg(F.avg(F.abs(F.col("_o") - F.col("_p"))).alias("far"), F.count("*").alias("rows"))
+    both = far.unionByName(kept, allowMissingColumns=True)
+    return both.agg(F.coalesce(F.max("far"), F.lit(0.0)).alias("displacement"), (F.coalesce(F.max("kept"), F.lit(0)) / F.greatest(F.max("rows") - 1, F.lit(1))).alias("adjacency"))
+
+
 def inversions(df: DataFrame, rank: str, pos: str = "pos", blocks: int = 64) -> DataFrame:
     """One row: pairs of rows that stand in the wrong order of `rank`.
 
@@ -206,10 +241,27 @@ def inversions(df: DataFrame, rank: str, pos: str = "pos", blocks: int = 64) ->
     return pairs.groupBy("i", "j").applyInPandas(count, StructType([StructField("n", LongType())])).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("inversions"))
 
 
-def filter_sum_rows(spark: SparkSession, rows: int, first: float, second: float, seed: int = 17, clustered: bool = False) -> DataFrame:
-    """pos, a, b, c: a matches (is -1) on exactly round(rows * first) rows, b (is 1) on a share of those; c in -100..100."""
+CLUSTER = 64  # rows of a cluster
+
+
+def _place(pos: Column, rows: int, layout: str, seed: int) -> Column:
+    """Where each row stands in the order in which rows are made to match: a bijection of 0..rows-1."""
+    if layout == "random":
+        return _scattered(pos, rows, seed)
+    if layout == "alternating":  # every other row, then those between
+        half = F.call_function("div", pos, F.lit(2))
+        return F.when(pos % 2 == 0, half).otherwise(half + (rows + 1) // 2)
+    if layout == "clustered":  # whole clusters, scattered; an incomplete last one stays last
+        whole = rows // CLUSTER
+        moved = _scattered(F.call_function("div", pos, F.lit(CLUSTER)), whole, seed) * CLUSTER + pos % CLUSTER if whole else pos
+        return F.when(pos < whole * CLUSTER, moved).otherwise(pos)
+    raise ValueError(f"no layout {layout!r}")
+
+
+def filter_sum_rows(spark: SparkSession, rows: int, first: float, second: float, seed: int = 17, layout: str = "random") -> DataFrame:
+    """pos, a, b, c: a matches (is -1) on exactly round(rows * first) rows, b (is 1) on a share of those; c in -100..100. layout: random, clustered or alternating."""
     p = F.col("pos")
-    place = p if clustered else _scattered(p, rows, seed)
+    place = _place(p, rows, layout, seed)
     k = round(rows * first)
     both = round(k * second)
     a = F.when(place < k, -1).otherwise(1)
@@ -223,7 +275,7 @@ _FNV_BASIS, _FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 
 
 def splitmix64(x: Column) -> Column:
-    """The SplitMix64 output for a bigint state, as a bigint bit pattern."""
+    """The SplitMix64 output for a bigint state, as a bigint bit pattern: also the mixing step of seeds (state xor what is mixed in)."""
 
     @F.pandas_udf("bigint")
     def mix(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

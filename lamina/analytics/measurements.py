@@ -40,6 +40,12 @@ def reduce_cells(samples: DataFrame, keys: list[str], cost: str) -> DataFrame:
     return joined.withColumn("relative_mad", F.when(F.col("median") != 0, F.col("mad") / F.col("median")))
 
 
+def inconsistent(samples: DataFrame, keys: list[str], evidence: list[str]) -> DataFrame:
+    """keys and, for each column of evidence, whether a cell's samples disagree about it (a null is a value like others): cells where any do. Repetitions of one measurement have to agree."""
+    differs = lambda c: F.coalesce(F.min(c) != F.max(c), F.lit(False)) | ((F.count(c) > 0) & (F.count(c) < F.count("*")))
+    return samples.groupBy(*keys).agg(*(differs(c).alias(c) for c in evidence)).where(" or ".join(f"`{c}`" for c in evidence))
+
+
 def nearest_rank(column: Column | str, share: float) -> Column:
     """The value at rank ceil(n * share), none interpolated."""
     return F.expr(f"percentile_disc({share}) within group (order by {column})") if isinstance(column, str) else F.percentile(column, F.lit(share))
@@ -119,6 +125,30 @@ def explore(results: DataFrame, rows: list[str], pivot: str, values: list[str],
     return results.groupBy(*rows).pivot(pivot, values).agg(F.median(cost))
 
 
+def ratio(results: DataFrame, rows: list[str], pivot: str, first: str, second: str, cost: str) -> DataFrame:
+    """rows that have both pivot values: the medians of the first and the second, and their ratio."""
+    medians = explore(results, rows, pivot, [first, second], cost).dropna(subset=[first, second])
+    return medians.select(*rows, F.col(first).alias("first"), F.col(second).alias("second"), F.try_divide(F.col(first), F.col(second)).alias("ratio"))
+
+
+def scaling(results: DataFrame, keys: list[str], axis: str, cost: str, base: float = 1) -> DataFrame:
+    """keys, axis, median, speedup over the median at axis = base (null where that is missing) and efficiency, the speedup a unit of the axis."""
+    curve = results.groupBy(*keys, axis).agg(F.median(cost).alias("median"))
+    serial = curve.where(F.col(axis) == base).select(*keys, F.col("median").alias("_serial"))
+    faster = curve.join(serial, keys, "left").withColumn("speedup", F.try_divide(F.col("_serial"), F.col("median"))).drop("_serial")
+    return faster.withColumn("efficiency", F.try_divide(F.col("speedup"), F.col(axis)))
+
+
+def distinct_values(results: DataFrame, rows: list[str], columns: list[str]) -> DataFrame:
+    """rows and how many values each column has there, nulls not counted. The pairs are made distinct first, so no row's values meet in one task."""
+    out = None
+    for c in columns:
+        pairs = results.select(*rows, F.col(c).alias("_v")).distinct()
+        counted = pairs.groupBy(*rows).agg(F.count("_v").alias(c))
+        out = counted if out is None else out.join(counted, rows)
+    return out
+
+
 def top(results: DataFrame, n: int, cost: str, tie: str) -> DataFrame:
     return results.orderBy(F.col(cost), tie).limit(n)
 

@@ -332,6 +332,8 @@ add("m1_validate", lambda s, d: measurements.validate(_expected(s, d), _observed
 _STATS = ("median", "min", "max", "p05", "p95", "mad", "relative_mad")
 add("m2_reduce_cells", lambda s, d: measurements.reduce_cells(_samples(s, d), ["scenario", "plan"], "cost").select("scenario", "plan", "n", *[_R(c) for c in _STATS]),
     f"select scenario, plan, count(*) as n, round(median(cost), 6) as median, round(min(cost), 6) as min, round(max(cost), 6) as max, round(quantile_cont(cost, 0.05), 6) as p05, round(quantile_cont(cost, 0.95), 6) as p95, round(mad(cost), 6) as mad, round(mad(cost) / median(cost), 6) as relative_mad from {_SAMPLES} group by all")
+add("m2_inconsistent", lambda s, d: measurements.inconsistent(table(s, d, "lineitem"), ["l_orderkey"], ["l_returnflag", "l_linestatus"]),
+    "select * from (select l_orderkey, min(l_returnflag) <> max(l_returnflag) as l_returnflag, min(l_linestatus) <> max(l_linestatus) as l_linestatus from lineitem group by 1) where l_returnflag or l_linestatus")
 add("m3_choose", lambda s, d: measurements.choose(_costs(s, d), "scenario", "plan", "cost").select("scenario", "winner", "best", "runner_up", _R("margin")),
     f"""with c as {_COSTS}, b as (select scenario, min(cost) as best from c group by 1), w as (select c.scenario, min(plan) as winner, any_value(best) as best from c join b using (scenario) where cost <= best * 1.005 group by 1),
     r as (select c.scenario, min({{'c': cost, 'p': plan}}) as x from c join w using (scenario) where plan <> winner group by 1) select w.scenario, winner, best, r.x.p as runner_up, round(r.x.c / best - 1, 6) as margin from w left join r using (scenario)""")
@@ -374,6 +376,11 @@ add("m7_dominant", lambda s, d: measurements.dominant(_rounds(s, d)).select("set
     select t.set_id, coalesce(x.c, 'default') as selected, case when x is null then 'inconclusive' else 'dominant' end as status, round(coalesce(-x.l, 0), 6) as improvement from (select distinct set_id from r) t left join b using (set_id)""")
 add("m8_explore", lambda s, d: measurements.explore(_samples(s, d), ["scenario"], "plan", ["p0", "p1", "p2", "p3"], "cost").select("scenario", *[_R(f"p{i}") for i in range(4)]), "select scenario, " + ", ".join(f"round(median(cost) filter (plan = 'p{i}'), 6) as p{i}" for i in range(4)) + f" from {_SAMPLES} group by 1")
 add("m8_top", lambda s, d: measurements.top(_samples(s, d), 10, "cost", "round").select("round", _R("cost")), f"select round, round(cost, 6) as cost from {_SAMPLES} order by cost, round limit 10")
+add("m8_ratio", lambda s, d: measurements.ratio(_samples(s, d), ["scenario"], "plan", "p0", "p1", "cost").select("scenario", _R("first"), _R("second"), _R("ratio")),
+    f"select scenario, round(a, 6) as first, round(b, 6) as second, round(a / b, 6) as ratio from (select scenario, median(cost) filter (plan = 'p0') as a, median(cost) filter (plan = 'p1') as b from {_SAMPLES} group by 1) where a is not null and b is not null")
+add("m8_scaling", lambda s, d: measurements.scaling(_samples(s, d).withColumn("workers", F.col("round") % 4 + 1), ["scenario"], "workers", "cost").select("scenario", "workers", _R("median"), _R("speedup"), _R("efficiency")),
+    f"with c as (select scenario, round % 4 + 1 as workers, median(cost) as m from {_SAMPLES} group by all) select c.scenario, c.workers, round(c.m, 6) as median, round(b.m / c.m, 6) as speedup, round(b.m / c.m / c.workers, 6) as efficiency from c left join c b on b.scenario = c.scenario and b.workers = 1")
+add("m8_distinct", lambda s, d: measurements.distinct_values(_samples(s, d), ["scenario"], ["plan", "round"]), f"select scenario, count(distinct plan) as plan, count(distinct round) as round from {_SAMPLES} group by 1")
 
 # ---- datasets
 _D = ["o_orderstatus", "o_custkey", "o_orderpriority"]
@@ -400,6 +407,11 @@ def _closed_sql(groups: list[tuple[int, int]]) -> str:
 add("d4_describe", lambda s, d: datasets.describe(table(s, d, "orders"), _D), _describe_sql("orders", _D))
 add("d4_in_order", lambda s, d: datasets.in_order_fraction(_orders(s, d), ["o_custkey"]).select(F.round("in_order", 9).alias("in_order"), "ascending_runs"), "with x as (select o_custkey <= lead(o_custkey) over (order by o_orderkey) as up from orders) select round(avg(up::int), 9) as in_order, count_if(not up)::bigint + 1 as ascending_runs from x")
 add("d4_inversions", lambda s, d: datasets.inversions(table(s, d, "customer").select(F.col("c_custkey").alias("pos"), F.floor("c_acctbal").cast("bigint").alias("r")), "r"), "select count(*) as inversions from customer a, customer b where a.c_custkey < b.c_custkey and floor(a.c_acctbal) > floor(b.c_acctbal)")
+add("d4_sort_work", lambda s, d: datasets.sort_work(table(s, d, "orders"), _D).select(F.round("weighted_work", 2).alias("weighted_work"), "scan_volume", F.round("duplicate_share", 9).alias("duplicate_share")),
+    "with " + ", ".join(f"g{j} as (select sum(case when n > 1 then n else 0 end)::bigint as tied, sum(case when n > 1 then n * log2(n) else 0 end) as work from (select count(*) as n from orders{' group by ' + ', '.join(_D[:j]) if j else ''}))" for j in range(len(_D) + 1))
+    + " select round(" + " + ".join(f"{len(_D) - j} * g{j}.work" for j in range(len(_D))) + ", 2) as weighted_work, " + " + ".join(f"g{j}.tied" for j in range(len(_D) - 1)) + f" as scan_volume, round(g{len(_D)}.tied / (select count(*) from orders), 9) as duplicate_share from " + ", ".join(f"g{j}" for j in range(len(_D) + 1)))
+add("d4_order_measures", lambda s, d: datasets.order_measures(_orders(s, d), ["o_orderstatus", "o_custkey"]).select(F.round("displacement", 6).alias("displacement"), F.round("adjacency", 9).alias("adjacency")),
+    f"with p as (select pos, row_number() over (order by o_orderstatus nulls first, o_custkey nulls first, pos) - 1 as o from {_ORD}) select round((select avg(abs(o - pos)) from p), 6) as displacement, round((select count(*) from p a join p b on b.pos = a.pos + 1 and b.o = a.o + 1) / greatest((select count(*) from p) - 1, 1), 9) as adjacency")
 _N, _SEED, _PRIME = 4096, 17, (1 << 31) - 1
 
 
@@ -448,7 +460,9 @@ add("d5_splitmix64", lambda s, d: _orders(s, d).select("pos", datasets.splitmix6
     f"""with a as (select pos, ((pos::uhugeint + {0x9E3779B97F4A7C15}::uhugeint) % {_W64})::ubigint as z from {_ORD}), b as (select pos, ((xor(z, z >> 30)::uhugeint * {0xBF58476D1CE4E5B9}::uhugeint) % {_W64})::ubigint as z from a),
     c as (select pos, ((xor(z, z >> 27)::uhugeint * {0x94D049BB133111EB}::uhugeint) % {_W64})::ubigint as z from b), e as (select pos, xor(z, z >> 31) as z from c) select pos, (z::hugeint - case when z >= {1 << 63}::ubigint then {1 << 64}::hugeint else 0::hugeint end)::bigint as h from e""")
 add("d6_filter_sum_rows", lambda s, d: datasets.filter_sum_rows(s, 10_000, 0.3, 0.5).agg(F.count_if(F.col("a") < 0).alias("after_a"), F.count_if((F.col("a") < 0) & (F.col("b") > 0)).alias("after_b")), "select 3000::bigint as after_a, 1500::bigint as after_b")
-add("d7_clustered_rows", lambda s, d: datasets.filter_sum_rows(s, 10_000, 0.1, 0.5, clustered=True).agg(F.max(F.when(F.col("a") < 0, F.col("pos"))).alias("last"), F.count_if(F.col("a") < 0).alias("after_a")), "select 999::bigint as last, 1000::bigint as after_a")
+_touched = lambda s, layout, first: datasets.filter_sum_rows(s, 10_000, first, 0.5, layout=layout).where("a < 0").agg(F.count("*").alias("after_a"), F.count_if(F.col("b") > 0).alias("after_b"), F.countDistinct(F.floor(F.col("pos") / 64)).alias("clusters"), F.count_if(F.col("pos") % 2 == 1).alias("odd"))
+add("d7_clustered_rows", lambda s, d: _touched(s, "clustered", 0.1), "select 1000::bigint as after_a, 500::bigint as after_b, 16::bigint as clusters, 500::bigint as odd")
+add("d7_alternating_rows", lambda s, d: _touched(s, "alternating", 0.6), "select 6000::bigint as after_a, 3000::bigint as after_b, 157::bigint as clusters, 1000::bigint as odd")
 
 
 # ---- catalogue: parts as candidates of a brand, types as names
