@@ -30,7 +30,7 @@ LEAST = 64
 LONGEST = 64
 PASSAGE = 100  # bytes of the shortest passage that is reported
 SAMPLED = 64
-HOT = 1024  # digests that are dealt over SALTS tasks
+HOT = 65_536  # digests that are dealt over SALTS tasks, at most
 HOT_COUNT = 32  # chunks of such a digest in the sample, at least
 SALTS = 64  # fewer than 256
 _GEAR = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -118,10 +118,14 @@ def chunks(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def frequent(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """d1, d2, hot: at most HOT digests, the most frequent ones among every SAMPLED-th document, by hash."""
+    """d1, d2, hot: digests that hold 1/HOT or more of the frequent digests' chunks in every SAMPLED-th document, by hash.
+
+    There are thus at most HOT of them, whatever the size, and no other digest has more than that part of the chunks.
+    """
     some = chunks(docs.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(SAMPLED)) == 0), least)
-    counts = some.groupBy("d1", "d2").count().where(F.col("count") >= HOT_COUNT)
-    return cut(counts.orderBy(F.desc("count"), "d1", "d2").limit(HOT).select("d1", "d2", F.lit(True).alias("hot")), "hot-digests")
+    counts = cut(some.groupBy("d1", "d2").count().where(F.col("count") >= HOT_COUNT), "frequent-digests")
+    total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    return counts.where(F.col("count") * HOT >= total).select("d1", "d2", F.lit(True).alias("hot"))
 
 
 def marks(docs: DataFrame, least: int = LEAST) -> DataFrame:
