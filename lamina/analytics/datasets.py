@@ -7,13 +7,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamina.operators.sorting import ranked
+from lamina.sources.shared import cut
 
 TPC_CARDINALITIES = (10, 99, 710, 17958, 6, 4, 12, 4)  # fixed values: distinct values of the eight key columns
 
@@ -210,35 +213,63 @@ def order_measures(df: DataFrame, columns: list[str], pos: str = "pos") -> DataF
     return both.agg(F.coalesce(F.max("far"), F.lit(0.0)).alias("displacement"), (F.coalesce(F.max("kept"), F.lit(0)) / F.greatest(F.max("rows") - 1, F.lit(1))).alias("adjacency"))
 
 
-def inversions(df: DataFrame, rank: str, pos: str = "pos", blocks: int = 64) -> DataFrame:
-    """One row: pairs of rows that stand in the wrong order of `rank`.
-
-    Rows are cut into blocks by pos; pairs within a block are counted by merging, pairs between blocks
-    from each block's sorted ranks against those of later blocks, a pair of blocks a task.
+DIGIT = 8  # bits
+
+
+def _pairs_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (g, p, d) of one range, by g and p: descending pairs of d within a g. The range's first and last g, which may go on in other ranges, come with their histogram of d."""
+    out: list[tuple[int | None, int | None, int, bytes | None]] = []
+    group, at, seen, inside, counts = None, 0, 0, 0, np.zeros(1 << DIGIT, np.int64)
+    for batch in batches:
+        g, p, d = (batch.column(c).to_numpy() for c in "gpd")
+        edges = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
+        for a, b in pairwise(edges):
+            if a < b and g[a] != group:
+                if out:
+                    inside += seen
+                elif group is not None:
+                    out.append((group, at, seen, counts.tobytes()))
+                group, at, seen = int(g[a]), int(p[a]), 0
+                counts[:] = 0
+            for x in range(a, b, 1 << DIGIT):
+                part = d[x : min(b, x + (1 << DIGIT))]
+                greater = counts.sum() - np.cumsum(counts)
+                seen += int(greater[part].sum()) + int(np.count_nonzero(np.triu(part[:, None] > part[None, :], 1)))
+                counts += np.bincount(part, minlength=1 << DIGIT)
+    if group is not None:
+        out += [(group, at, seen, counts.tobytes()), (None, None, inside, None)]
+        g, p, n, digits = zip(*out, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(p, pa.int64()), pa.array(n, pa.int64()), pa.array(digits, pa.binary())], names=["g", "p", "n", "digits"])
+
+
+def _pairs_between(ranges: pa.Table) -> pa.Table:
+    """Descending pairs between the parts of one g, a row for each range it lies in."""
+    before, n = np.zeros(1 << DIGIT, np.int64), 0
+    for raw in ranges.sort_by("p").column("digits").to_pylist():
+        counts = np.frombuffer(raw, np.int64)
+        n += int(((before.sum() - np.cumsum(before)) * counts).sum())
+        before += counts
+    return pa.table({"n": pa.array([n], pa.int64())})
+
+
+def inversions(df: DataFrame, rank: str, pos: str = "pos") -> DataFrame:
+    """One row: pairs of rows that stand in the wrong order of `rank` (equal ranks are in order, nulls come first).
+
+    Places in the sorted table are compared digit by digit: a pair is counted at the highest digit in which its places
+    differ, among the rows that agree above it. A digit takes one range sort by (digits above, pos); a range is counted
+    in one pass, and between ranges only histograms of the digit meet, two a range.
     """
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    n = df.count()
-    size = max(1, -(-n // blocks))
-    rows = df.select(F.floor(F.col(pos) / size).cast("int").alias("a"), F.col(pos).alias("p"), F.col(rank).alias("r"))
-    pairs = rows.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o"), "a", "p", "r").select(F.least("a", "o").alias("i"), F.greatest("a", "o").alias("j"), "a", "p", "r")
-
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        left = pdf[pdf["a"] == i].sort_values("p")["r"].to_numpy()
-        if i != j:
-            right = np.sort(pdf[pdf["a"] == j]["r"].to_numpy())
-            return pd.DataFrame({"n": [int(np.searchsorted(right, left, side="left").sum())]})
-        total, width, x = 0, 1, left.copy()
-        while width < len(x):
-            for at in range(0, len(x), 2 * width):
-                a, b = x[at : at + width], x[at + width : at + 2 * width]
-                total += int((len(a) - np.searchsorted(a, b, side="right")).sum())
-                x[at : at + 2 * width] = np.sort(x[at : at + 2 * width], kind="stable")
-            width *= 2
-        return pd.DataFrame({"n": [total]})
-
-    return pairs.groupBy("i", "j").applyInPandas(count, StructType([StructField("n", LongType())])).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("inversions"))
+    spark = df.sparkSession
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    placed = ranked(df.select(pos, rank), [F.col(rank).asc_nulls_first(), F.col(pos).asc()])
+    out = None
+    for shift in range(0, max(1, (placed.count() - 1).bit_length()), DIGIT):
+        digit = F.shiftright("ord", shift).bitwiseAND(F.lit((1 << DIGIT) - 1)).cast("int")
+        rows = placed.select(F.shiftright("ord", shift + DIGIT).alias("g"), F.col(pos).cast("long").alias("p"), digit.alias("d"))
+        counted = cut(rows.repartitionByRange(ranges, "g", "p").sortWithinPartitions("g", "p").mapInArrow(_pairs_within, "g long, p long, n long, digits binary"), "inversions")
+        level = counted.select("n").union(counted.where("digits is not null").groupBy("g").applyInArrow(_pairs_between, "n long"))
+        out = level if out is None else out.union(level)
+    return out.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("inversions"))
 
 
 CLUSTER = 64  # rows of a cluster

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,6 +43,14 @@ def test_order_measures(spark):
     assert tuple(datasets.order_measures(df.limit(0), ["a"]).first()) == (0.0, 0.0)
 
 
+@pytest.mark.parametrize("rows", [0, 1, 2, 300, 3000])
+def test_inversions(spark, rows):
+    ranks = [None if i % 41 == 7 else i * 7919 % 1009 if i % 3 else i // 2 for i in range(rows)]
+    df = spark.createDataFrame(list(enumerate(ranks)), "pos long, r long")
+    key = np.array([-1 if r is None else r for r in ranks], np.int64)
+    assert datasets.inversions(df, "r").first()[0] == sum(int((key[: i] > key[i]).sum()) for i in range(rows))
+
+
 def test_ratio_and_scaling(spark):
     rows = [("s", 1, 8.0), ("s", 2, 4.0), ("s", 4, 4.0), ("t", 2, 1.0)]
     df = spark.createDataFrame(rows, "shape string, workers int, cost double")
