@@ -120,7 +120,8 @@ def chunks(docs: DataFrame, least: int = LEAST) -> DataFrame:
 def frequent(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """d1, d2, hot: digests that hold 1/HOT or more of the frequent digests' chunks in every SAMPLED-th document, by hash.
 
-    There are thus at most HOT of them, whatever the size, and no other digest has more than that part of the chunks.
+    There are thus at most HOT of them, whatever the size. Any other digest has less than that part of these chunks, or
+    fewer than HOT_COUNT chunks in the sample; how often it stands in all documents is an estimate from there.
     """
     some = chunks(docs.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(SAMPLED)) == 0), least)
     counts = cut(some.groupBy("d1", "d2").count().where(F.col("count") >= HOT_COUNT), "frequent-digests")
