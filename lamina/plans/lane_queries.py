@@ -42,7 +42,7 @@ def _spark_lane(name: str, tag: str, plain: bool) -> Column:
     e, t = F.col("event_id"), TAGS[tag]
     base = e * F.lit(k).cast("bigint")
     if t.floating:
-        value = ((F.pmod(F.floor(base / 64), F.lit(20001)) - 10000) / 8.0).cast(t.spark)
+        value = ((F.pmod(F.call_function("div", base, F.lit(64).cast("bigint")), F.lit(20001)) - 10000) / 8.0).cast(t.spark)  # base / 64 would be a double, inexact from 2**53
     else:
         spread = F.pmod(F.call_function("div", base, F.lit(d).cast("bigint")), F.lit(1 << 31).cast("bigint"))
         value = wrap(spread * F.lit(7046029).cast("bigint"), t) if t.bits < 64 else spread * F.lit((1 << 32) - 5).cast("bigint") - F.lit(1 << 62).cast("bigint")
