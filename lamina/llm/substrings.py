@@ -9,8 +9,9 @@ ones are single lines. The document with the smallest doc_id that holds a digest
 
 Cuts fall between code points. A stretch without a cut is cut every `longest` bytes after the last one.
 
-Texts are chunked once and chunks shuffled once, by digest. The most frequent digests of a sample of the documents are
-dealt over SALTS tasks each; what is sampled decides where a chunk goes, not what is found.
+Texts are chunked once and chunks shuffled once, by digest. The most frequent digests of a sample of the documents are hot:
+a document's chunks of them travel as one row, and their owners are minima over those rows. What is sampled decides how a
+chunk travels, not what is found.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,9 +32,8 @@ LEAST = 64
 LONGEST = 64
 PASSAGE = 100  # bytes of the shortest passage that is reported
 SAMPLED = 64
-HOT = 65_536  # digests that are dealt over SALTS tasks, at most
+HOT = 65_536  # hot digests, at most
 HOT_COUNT = 32  # chunks of such a digest in the sample, at least
-SALTS = 64  # fewer than 256
 _GEAR = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -100,25 +101,43 @@ class Digests:
         return owner, starts - first[owner], stops - first[owner], out[0], out[1]
 
 
-def chunks(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """doc_id, span (start and stop in bytes, packed), d1, d2: every grown chunk of every text. Null texts and null ids have none."""
+def chunks(docs: DataFrame, least: int = LEAST, hot: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """doc_id, span (start and stop in bytes, packed), d1, d2: every grown chunk of every text. Null texts and null ids have none.
+
+    hot: d1 and d2 of some digests, by d1. A text's chunks of these are one row, whose column hot has their spans and the digests'
+    places in `hot`; its d1 is a hash of doc_id and its d2 is -1, which no digest has. In all other rows hot is null.
+    """
+    h1, h2 = hot or (np.empty(0, np.int64),) * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digests = Digests()
         for whole in batches:
             for batch in slices(whole, "text", 1_000_000):
                 owner, starts, stops, d1, d2 = digests([t.encode() for t in batch.column("text").to_pylist()], least)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(owner)), pa.array(starts << 32 | stops), pa.array(d1.view(np.int64)), pa.array((d2 >> np.uint64(32)).astype(np.int64))],
-                    names=["doc_id", "span", "d1", "d2"],
-                )
+                spans, d1, d2 = starts << 32 | stops, d1.view(np.int64), (d2 >> np.uint64(32)).astype(np.int64)
+                at = np.minimum(np.searchsorted(h1, d1), len(h1) - 1)
+                dear = (h1[at] == d1) & (h2[at] == d2) if len(h1) else np.zeros(len(d1), bool)
+                texts, n = np.unique(owner[dear], return_counts=True)
+                alone = np.arange(len(d1) - n.sum() + len(n)) < len(d1) - n.sum()  # rows of one chunk, then those of many
+                rest = np.full(len(n), -1)
+                inside = pa.StructArray.from_arrays([pa.array(spans[dear]), pa.array(at[dear].astype(np.int32))], names=["span", "at"])
+                ends = np.concatenate((np.zeros(alone.sum(), np.int64), [0], np.cumsum(n))).astype(np.int32)
+                columns = [
+                    batch.column("doc_id").take(pa.array(np.append(owner[~dear], texts))),
+                    pa.array(np.append(spans[~dear], rest), mask=~alone),
+                    pa.array(np.append(d1[~dear], rest)),
+                    pa.array(np.append(d2[~dear], rest)),
+                    pa.ListArray.from_arrays(pa.array(ends), inside, mask=pa.array(alone)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "span", "d1", "d2", "hot"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, span long, d1 long, d2 long")
+    made = docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, span long, d1 long, d2 long, hot array<struct<span:long,at:int>>")
+    return made.withColumn("d1", F.when(F.col("hot").isNull(), F.col("d1")).otherwise(F.xxhash64("doc_id")))
 
 
-def frequent(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """d1, d2, hot: digests that hold 1/HOT or more of the frequent digests' chunks in every SAMPLED-th document, by hash.
+def frequent(docs: DataFrame, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """d1 and d2, by d1, of the digests that hold 1/HOT or more of the frequent digests' chunks in every SAMPLED-th document, by hash.
 
     There are thus at most HOT of them, whatever the size. Any other digest has less than that part of these chunks, or
     fewer than HOT_COUNT chunks in the sample; how often it stands in all documents is an estimate from there.
@@ -126,21 +145,42 @@ def frequent(docs: DataFrame, least: int = LEAST) -> DataFrame:
     some = chunks(docs.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(SAMPLED)) == 0), least)
     counts = cut(some.groupBy("d1", "d2").count().where(F.col("count") >= HOT_COUNT), "frequent-digests")
     total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-    return counts.where(F.col("count") * HOT >= total).select("d1", "d2", F.lit(True).alias("hot"))
+    hot = counts.where(F.col("count") * HOT >= total).select("d1", "d2").toArrow()
+    d1, d2 = (hot.column(k).to_numpy() for k in ("d1", "d2"))
+    order = np.argsort(d1)
+    return d1[order], d2[order]
+
+
+def first_holders(found: DataFrame, n: int) -> pa.Array:
+    """For each of n hot digests the smallest doc_id that holds it, null where no other document does. found: doc_id and hot, as in `chunks`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hot = batch.column("hot")
+            held = pa.table({"at": hot.flatten().field("at"), "id": batch.column("doc_id").take(pc.list_parent_indices(hot))})
+            held = held.group_by("at").aggregate([("id", "min"), ("id", "max")]).combine_chunks()
+            yield from held.select(["at", "id_min", "id_max"]).rename_columns(["at", "least", "most"]).to_batches()
+
+    if not n:
+        return pa.nulls(0)
+    kind = found.schema["doc_id"].dataType.simpleString()
+    ends = found.where("hot is not null").select("doc_id", "hot").mapInArrow(run, f"at int, least {kind}, most {kind}")
+    known = ends.groupBy("at").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least <> most").select("at", "least").toArrow()
+    place = np.full(n, -1)
+    place[known.column("at").to_numpy()] = np.arange(len(known))
+    return known.column("least").combine_chunks().take(pa.array(place, mask=place < 0))
 
 
-def marks(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """doc_id, span, owner: the chunks whose digest another document holds too, and the smallest doc_id that holds it."""
-    salted = chunks(docs, least).join(F.broadcast(frequent(docs, least)), ["d1", "d2"], "left")
-    salt = F.when(F.col("hot"), F.pmod(F.hash("doc_id"), F.lit(SALTS)) + 1).otherwise(0)
-    dealt = salted.select("doc_id", "span", "d1", (F.shiftleft("d2", 8) + salt).alias("d2"))  # 32 bits and the salt
+def marks(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, pa.Array]:
+    """doc_id, span, owner, hot: the chunks whose digest another document holds too, and the smallest doc_id that holds it.
+
+    Where hot is not null, it has the chunks of hot digests instead, as in `chunks`; the array has the owners of these digests.
+    """
+    hot = frequent(docs, least)
     same = Window.partitionBy("d1", "d2")
-    found = dealt.select("*", F.min("doc_id").over(same).alias("owner"), F.max("doc_id").over(same).alias("last"))
-    found = cut(found.where("owner <> last or d2 & 255 <> 0"), "marks")
-    cold = found.where("d2 & 255 = 0").select("doc_id", "span", "owner")
-    hot = found.where("d2 & 255 <> 0").withColumn("d2", F.shiftright("d2", 8))
-    owners = hot.groupBy("d1", "d2").agg(F.min("owner").alias("_owner"), F.max("last").alias("_last")).where("_owner <> _last").drop("_last")
-    return cold.unionByName(hot.join(F.broadcast(owners), ["d1", "d2"]).select("doc_id", "span", F.col("_owner").alias("owner")))
+    found = chunks(docs, least, hot).select("*", F.min("doc_id").over(same).alias("owner"), F.max("doc_id").over(same).alias("last"))
+    found = cut(found.where("owner <> last or hot is not null").select("doc_id", "span", "owner", "hot"), "marks")
+    return found, first_holders(found, len(hot[0]))
 
 
 def merged(spans: np.ndarray, passage: int) -> np.ndarray:
@@ -160,17 +200,26 @@ def repeated(docs: DataFrame, least: int = LEAST, passage: int = PASSAGE) -> Dat
     Null ids, null and empty texts have no row, nor has an empty table. doc_id may be of any ordered type. Extra columns are not read.
     """
     kind = docs.schema["doc_id"].dataType
-    found = F.struct("span", "owner", (F.col("owner") < F.col("doc_id")).alias("lost"))
-    rows = marks(docs, least).groupBy("doc_id").agg(F.collect_set(found).alias("marks"))
+    found, holders = marks(docs, least)
+    cold = F.when(F.col("hot").isNull(), F.struct("span", "owner"))
+    rows = found.groupBy("doc_id").agg(F.collect_set(cold).alias("marks"), F.flatten(F.collect_set("hot")).alias("hot"))
     span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            all_ = batch.column("marks")
-            ends, flat = all_.offsets.to_numpy(), all_.values
-            spans, owners, lost = flat.field("span").to_numpy(), flat.field("owner"), flat.field("lost").to_numpy(zero_copy_only=False)
+            ids, all_, hot = (batch.column(k) for k in ("doc_id", "marks", "hot"))
+            cold, more = all_.flatten(), hot.flatten()
+            place, whose = pc.list_parent_indices(all_), pc.list_parent_indices(hot)
+            held = holders.cast(ids.type).take(more.field("at"))
+            known = held.is_valid().to_numpy(zero_copy_only=False)
+            place = np.concatenate((place.to_numpy(), whose.to_numpy()[known]))
+            order = np.argsort(place, kind="stable")
+            ends = np.searchsorted(place[order], np.arange(len(ids) + 1))
+            spans = np.concatenate((cold.field("span").to_numpy(), more.field("span").to_numpy()[known]))[order]
+            owners = pa.concat_arrays([cold.field("owner"), held.drop_null()]).take(pa.array(order))
+            lost = pc.not_equal(owners, ids.take(pa.array(place[order]))).to_numpy(zero_copy_only=False)
             out: tuple[list, ...] = ([], [], [], [], [])
-            for i, key in enumerate(batch.column("doc_id")):
+            for i, key in enumerate(ids):
                 own, gone = spans[ends[i] : ends[i + 1]], np.flatnonzero(lost[ends[i] : ends[i + 1]])
                 whole, free = merged(own, passage), merged(own[gone], passage)
                 if not len(whole):
@@ -180,8 +229,7 @@ def repeated(docs: DataFrame, least: int = LEAST, passage: int = PASSAGE) -> Dat
                 rows = lambda x: [{"start": a, "stop": b} for a, b in x.tolist()]
                 for column, value in zip(out, (key, rows(whole), int((whole[:, 1] - whole[:, 0]).sum()), rows(free), owners.take(pa.array(ends[i] + inside)).unique().sort()), strict=True):
                     column.append(value)
-            ids = batch.column("doc_id").type
-            yield pa.RecordBatch.from_arrays([pa.array([k.as_py() for k in out[0]], ids), pa.array(out[1], span), pa.array(out[2], pa.int64()), pa.array(out[3], span), pa.array([o.to_pylist() for o in out[4]], pa.list_(ids))], names=["doc_id", "spans", "n_bytes", "removable", "owners"])
+            yield pa.RecordBatch.from_arrays([pa.array([k.as_py() for k in out[0]], ids.type), pa.array(out[1], span), pa.array(out[2], pa.int64()), pa.array(out[3], span), pa.array([o.to_pylist() for o in out[4]], pa.list_(ids.type))], names=["doc_id", "spans", "n_bytes", "removable", "owners"])
 
     spans = "array<struct<start:int,stop:int>>"
     return rows.mapInArrow(run, f"doc_id {kind.simpleString()}, spans {spans}, n_bytes long, removable {spans}, owners array<{kind.simpleString()}>")

@@ -441,6 +441,26 @@ def test_repeats_against_a_suffix_array(spark, monkeypatch, hot):
         assert all(any(raw[i][s.start : s.start + 64] in raw[j] for j in x.owners) and max(x.owners) < i for s in x.removable)
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_hot_chunks_of_a_document_travel_as_one_row(spark, monkeypatch, kind):
+    r = random.Random(8)
+    words = lambda n: " ".join("".join(r.choices("abcdefgh", k=r.randint(2, 9))) for _ in range(n))
+    passage, other, twice = words(200), words(60), words(30)
+    rows = [(i, f"{words(20)} {passage} {other if i % 5 == 0 else words(30)}") for i in range(40)]
+    rows += [(40, passage), (40, passage), (40, f"{words(30)} {other}"), (41, " ".join([twice] * 4)), (42, words(50)), (43, ""), (44, None), (None, passage)]
+    rows = [(i if i is None or kind == "long" else f"{i * 7 % 50:02}é", t) for i, t in rows]
+    frame = spark.createDataFrame(rows, f"doc_id {kind}, text string")
+    every = {x.doc_id: x for x in substrings.repeated(frame).collect()}
+    monkeypatch.setattr(substrings, "SAMPLED", 1)
+    written = {}
+    monkeypatch.setattr(substrings, "cut", lambda df, name, cut=substrings.cut: written.setdefault(name, cut(df, name)))
+    for least in (8, 20, 1000):  # all passages are hot, the long one is, none is
+        monkeypatch.setattr(substrings, "HOT_COUNT", least)
+        written.clear()
+        assert {x.doc_id: x for x in substrings.repeated(frame).collect()} == every and len(every) == 41
+        assert least != 8 or written["marks"].count() < 120  # not a row for each of some 40 chunks in 41 documents
+
+
 def test_digests_do_not_depend_on_neighbours():
     d = substrings.Digests()
     a, b = b"some text " * 30, bytes(range(97, 120)) * 20
